@@ -10,8 +10,9 @@ repaired word by word among words that hold a character that doesn't belong ther
 What can't be restored (replacement characters, dropped control characters) is found by
 the cost that remains: such rows come out with `restaurado` false.
 
-Scale: a JVM filter passes only texts with a suspicious character to Python; there is no
-shuffle and nothing is collected.
+Scale: a JVM filter keeps texts of ASCII alone from Python, where the set of a text's
+characters and one search decide whether it is looked at closely; there is no shuffle and
+nothing is collected.
 
 Defined results: null, empty and blank texts are no cases; whole texts are read; repeated
 rows come out each; other columns are ignored. Other scripts, symbols, entities, missing
@@ -40,8 +41,12 @@ MIN_DROP, LOST_COST = 1.0, 2.5
 
 #: Characters that texts in Portuguese, Spanish and English hold by themselves.
 LOWER, UPPER, MARKS = "áàâãéêíóôõúçñü", "ÁÀÂÃÉÊÍÓÔÕÚÇÑÜ", "ºª°§“”‘’–—…«»€¿¡´•\u00a0"
-#: Sends a text to Python: a character outside the above (ASCII and combining marks aside), or a letter where none belongs.
-SUSPICIOUS = rf"[^\x00-\x7f{LOWER}{UPPER}{MARKS}̀-ͯ]|[a-z{LOWER}][{UPPER}]|[ÂÃ][^A-Za-zÀ-ÖØ-öø-ÿ]|[ÂÃÀ-ß]$|[A-Za-z][{MARKS}][A-Za-z]|¿ \p{{L}}|[âÃ](?=[A-Z\s])"
+#: What a text must hold to be looked at closely: a character outside the above (ASCII and combining marks aside), or a letter where none belongs.
+SUSPICIOUS = rf"[^\x00-\x7f{LOWER}{UPPER}{MARKS}̀-ͯ]|[a-z{LOWER}][{UPPER}]|[ÂÃ][^A-Za-zÀ-ÖØ-öø-ÿ]|[ÂÃÀ-ß]$|[A-Za-z][{MARKS}][A-Za-z]|[âÃ](?=[A-Z\s])"
+
+SEEN = re.compile(SUSPICIOUS)
+#: Texts of these characters alone hold nothing of the kind; told from the set of a text's characters.
+PLAIN = frozenset(map(chr, range(0x80))) | frozenset(LOWER) - {"â"}
 
 UTF8_SEQUENCE = re.compile("[Â-ß][\u0080-¿]|à[\u00a0-¿][\u0080-¿]|[á-ï][\u0080-¿]{2}|ð[\u0090-¿][\u0080-¿]{2}|[ñ-ô][\u0080-¿]{3}")
 #: The same after a no-break space was replaced by a plain one, which happens on the way.
@@ -255,9 +260,13 @@ def step(text: str, now: float) -> tuple[float, str, str]:
     return best
 
 
+def suspicious(text: str | None) -> bool:
+    return bool(text) and not PLAIN.issuperset(text) and SEEN.search(text) is not None
+
+
 def repair(text: str | None) -> tuple[bool, str | None, list[str], float]:
     """(whether it is a case, the text as far as restored, layers from the outermost, cost that remains)."""
-    if not text or text.isascii():
+    if not suspicious(text):
         return False, text, [], 0.0
     first = now = cost(text)
     layers, made = [], text
@@ -296,5 +305,5 @@ def garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 names=[key, "camadas", "restaurado", "texto", "custo"],
             )
 
-    seen = df.select(F.col(key), F.col(text)).where(F.col(text).rlike(SUSPICIOUS))
+    seen = df.select(F.col(key), F.col(text)).where(F.octet_length(text) > F.char_length(text))
     return seen.mapInArrow(run, f"`{key}` {type_}, camadas array<string>, restaurado boolean, texto string, custo double")
