@@ -59,6 +59,11 @@ CORPUS_CODES = (
 DIPLOMA_PREFIX, HEADER_PREFIX, TST_PREFIX, NUMBER_PREFIX = 500, 240, 8000, 500
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once; branches of a CASE would each evaluate it again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_accents(c: Column) -> Column:
     """Native accent stripping for Latin letters and decomposed text; see exact_accents for full NFKD."""
     return F.translate(F.regexp_replace(c, "[̀-ͯ]", ""), ACCENTED, PLAIN)
@@ -141,36 +146,42 @@ def corpus_article(c: Column) -> Column:
 
 def cited_code(c: Column) -> Column:
     """Code that a citation names: law number first, then the keyword rules in order; null for none."""
-    b = base_form(c)
-    number = strip_zeros(digits_only(_extract(b, "(?iuU)" + LAW_NUMBER, 1)))
-    year = _extract(b, "(?iuU)" + LAW_NUMBER, 2)
-    key = F.concat_ws("/", number, year)
-    law = F.when(b.contains("complementar") & (key == "64/1990"), "lc64")
-    for k, code in LAW_ALIASES.items():
-        law = law.when(key == k, code)
-    law = law.otherwise(F.concat(F.lit("lei-"), number, F.lit("-"), year))
-    out = F.when(year.isNotNull(), law)
-    for code, phrase, abbreviation in CITED_CODES:
-        hit = b.contains(phrase)
-        if abbreviation:
-            hit = hit | b.rlike(rf"(?U)\b{abbreviation}\b")
-        out = out.when(hit, code)
-    return out
+    def named(x: Column) -> Column:
+        b, number, year = x["b"], x["number"], x["year"]
+        key = F.concat_ws("/", number, year)
+        law = F.when(b.contains("complementar") & (key == "64/1990"), "lc64")
+        for k, code in LAW_ALIASES.items():
+            law = law.when(key == k, code)
+        out = F.when(year.isNotNull(), law.otherwise(F.concat(F.lit("lei-"), number, F.lit("-"), year)))
+        for code, phrase, abbreviation in CITED_CODES:
+            hit = b.contains(phrase)
+            if abbreviation:
+                hit = hit | b.rlike(rf"(?U)\b{abbreviation}\b")
+            out = out.when(hit, code)
+        return out
+
+    def parts(b: Column) -> Column:
+        number = strip_zeros(digits_only(_extract(b, "(?iuU)" + LAW_NUMBER, 1)))
+        return F.struct(b.alias("b"), number.alias("number"), _extract(b, "(?iuU)" + LAW_NUMBER, 2).alias("year"))
+
+    return let(let(base_form(c), parts), named)
 
 
 def corpus_code(c: Column) -> Column:
     """Code that a corpus text belongs to, by the keyword rules on its first characters."""
-    b = base_form(F.substring(c, 1, DIPLOMA_PREFIX))
-    out = None
-    for code, alternatives in CORPUS_CODES:
-        hit = F.lit(False)
-        for phrases in alternatives:
-            both = F.lit(True)
-            for p in phrases:
-                both = both & b.contains(p)
-            hit = hit | both
-        out = F.when(hit, code) if out is None else out.when(hit, code)
-    return out
+    def rules(b: Column) -> Column:
+        out = None
+        for code, alternatives in CORPUS_CODES:
+            hit = F.lit(False)
+            for phrases in alternatives:
+                both = F.lit(True)
+                for p in phrases:
+                    both = both & b.contains(p)
+                hit = hit | both
+            out = F.when(hit, code) if out is None else out.when(hit, code)
+        return out
+
+    return let(base_form(F.substring(c, 1, DIPLOMA_PREFIX)), rules)
 
 
 def cited_sumula(c: Column) -> Column:

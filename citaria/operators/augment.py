@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citaria.functions.spans import intersection, segments
+from citaria.functions.spans import segments
+from citaria.functions.text import let
 
 # Phrases and their replacements, sentences, names, places.
 SYNONYMS = (
@@ -92,11 +93,13 @@ def ocr_noise(parts: Column, seed: Column) -> Column:
     swaps = F.create_map(*(F.lit(x) for a, b in OCR_SWAPS.items() for x in (a, b, a.upper(), b.upper())))
     limit = int(OCR_SHARE * 10_000)
 
-    def change(t: Column, i: Column) -> Column:
-        chars = F.split(t, "")
-        return F.array_join(F.transform(chars, lambda c, k: F.when(c.rlike("^[aeoiumAEOIUM]$") & (F.pmod(F.xxhash64(seed, i, k), F.lit(10_000)) < limit), F.try_element_at(swaps, c)).otherwise(c)), "")
+    def noisy(own: Column) -> Column:
+        def change(t: Column, i: Column) -> Column:
+            return F.array_join(F.transform(F.split(t, ""), lambda c, k: F.when(F.pmod(F.xxhash64(own, i, k), F.lit(10_000)) < limit, F.coalesce(F.try_element_at(swaps, c), c)).otherwise(c)), "")
 
-    return free(parts, change)
+        return free(parts, change)
+
+    return let(F.xxhash64(seed), noisy)
 
 
 def chosen(flags: Column, seed: Column, what: str) -> Column:
@@ -107,28 +110,25 @@ def chosen(flags: Column, seed: Column, what: str) -> Column:
 
 def insert_sentence(parts: Column, seed: Column) -> Column:
     at = chosen(F.transform(parts, lambda p: (p["tipo"] == "livre") & (F.length(p["trecho"]) > 80)), seed, "onde")
-    return free(parts, lambda t, i: F.when(i == at, F.concat(F.regexp_replace(t, r"(?U)\s+$", ""), F.lit(" "), pick(SENTENCES, seed, "frase"), F.lit("\n"))).otherwise(t))
+    return let(at, lambda at: free(parts, lambda t, i: F.when(i == at, F.concat(F.regexp_replace(t, r"(?U)\s+$", ""), F.lit(" "), pick(SENTENCES, seed, "frase"), F.lit("\n"))).otherwise(t)))
 
 
 def drop_sentence(parts: Column, seed: Column) -> Column:
     def change(t: Column, i: Column) -> Column:
-        each = F.split(t, SENTENCE_END, -1)
-        at = chosen(F.transform(each, lambda s: (F.length(s) > 40) & (F.length(s) < 180)), F.concat_ws("|", seed, i.cast("string")), "frase")
-        return F.when(at.isNotNull(), F.array_join(F.filter(each, lambda _, k: k != at), " ")).otherwise(t)
+        def without(each: Column) -> Column:
+            at = chosen(F.transform(each, lambda s: (F.length(s) > 40) & (F.length(s) < 180)), F.concat_ws("|", seed, i.cast("string")), "frase")
+            return let(at, lambda at: F.when(at.isNotNull(), F.array_join(F.filter(each, lambda _, k: k != at), " ")).otherwise(t))
+
+        return let(F.split(t, SENTENCE_END, -1), without)
 
     return free(parts, change)
 
 
 def swap_names(parts: Column, seed: Column) -> Column:
     found = F.filter(F.transform(F.regexp_extract_all(joined(parts), F.lit(PARTY), F.lit(1)), F.trim), lambda n: F.length(n) > 8)
-    first = F.slice(found, 1, len(NAMES))
-    names = F.array(*map(F.lit, NAMES))
-
-    def change(t: Column, _: Column) -> Column:
-        numbered = F.transform(first, lambda n, k: F.struct(n.alias("n"), k.alias("k")))
-        return F.aggregate(numbered, t, lambda s, x: F.replace(s, x["n"], F.element_at(names, (F.pmod(draw(len(NAMES), seed, "nomes") + x["k"], F.lit(len(NAMES))) + 1).cast("int"))))
-
-    return free(parts, change)
+    names, start = F.array(*map(F.lit, NAMES)), draw(len(NAMES), seed, "nomes")
+    pairs = F.transform(F.slice(found, 1, len(NAMES)), lambda n, k: F.struct(n.alias("n"), F.element_at(names, (F.pmod(start + k, F.lit(len(NAMES))) + 1).cast("int")).alias("new")))
+    return let(pairs, lambda pairs: free(parts, lambda t, _: F.aggregate(pairs, t, lambda s, x: F.replace(s, x["n"], x["new"]))))
 
 
 def between(low: int, high: int, *what) -> Column:
@@ -162,7 +162,7 @@ def add_closing(parts: Column, seed: Column) -> Column:
 
 
 def combine(parts: Column, seed: Column) -> Column:
-    return swap_numbers(insert_sentence(synonyms(parts, seed), seed), seed)
+    return let(insert_sentence(synonyms(parts, seed), seed), lambda p: swap_numbers(p, seed))
 
 
 def reorder(text: Column, spans: Column, seed: Column) -> Column:
@@ -176,11 +176,15 @@ def reorder(text: Column, spans: Column, seed: Column) -> Column:
         lambda s: s["l"],
     )
     flagged = F.transform(placed, lambda x, k: F.struct(k.alias("k"), x["t"].alias("t"), (~F.exists(spans, lambda s: (s["inicio"] < x["b"]) & (s["fim"] > x["a"]))).alias("free")))
-    loose = F.filter(flagged, lambda x: x["free"])
-    order = F.array_sort(F.transform(loose, lambda x: F.struct(F.xxhash64(seed, x["k"]).alias("h"), x["k"].alias("k"), x["t"].alias("t"))))
-    places = F.transform(loose, lambda x: x["k"])
-    moved = F.transform(flagged, lambda x: F.when(x["free"], F.get(order, F.array_position(places, x["k"]).cast("int") - 1)["t"]).otherwise(x["t"]))
-    return F.when(F.size(loose) < 2, text).otherwise(F.array_join(moved, "\n\n"))
+
+    def permuted(flagged: Column) -> Column:
+        loose = F.filter(flagged, lambda x: x["free"])
+        order = F.array_sort(F.transform(loose, lambda x: F.struct(F.xxhash64(seed, x["k"]).alias("h"), x["k"].alias("k"), x["t"].alias("t"))))
+        both = F.struct(F.transform(loose, lambda x: x["k"]).alias("places"), F.transform(order, lambda x: x["t"]).alias("texts"))
+        moved = lambda b: F.transform(flagged, lambda x: F.when(x["free"], F.get(b["texts"], F.array_position(b["places"], x["k"]).cast("int") - 1)).otherwise(x["t"]))
+        return let(both, lambda b: F.when(F.size(b["places"]) < 2, text).otherwise(F.array_join(moved(b), "\n\n")))
+
+    return let(flagged, permuted)
 
 
 CHANGES = {"sinonimos": synonyms, "ocr": ocr_noise, "insere": insert_sentence, "remove_frase": drop_sentence, "troca_nomes": swap_names, "troca_protocolo": swap_numbers, "troca_data": swap_dates, "expande": add_closing, "combina": combine}
@@ -190,7 +194,7 @@ def variant(text: Column, spans: Column, operation: str, seed: Column) -> Column
     """A text changed by one operation; spans: sorted and disjoint."""
     if operation == "reordena":
         return reorder(text, spans, seed)
-    return joined(CHANGES[operation](segments(text, spans), seed))
+    return let(segments(text, spans), lambda parts: joined(CHANGES[operation](parts, seed)))
 
 
 def variants(docs: DataFrame, keys: list[str], seed: int = 42, operations: tuple[str, ...] = OPERATIONS) -> DataFrame:
@@ -200,8 +204,12 @@ def variants(docs: DataFrame, keys: list[str], seed: int = 42, operations: tuple
     pass over the texts, each is exploded into its variants without a shuffle.
     """
     own = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
-    made = [F.struct(F.lit(op).alias("operacao"), variant(F.col("texto"), F.col("spans"), op, F.concat_ws("|", own, F.lit(op))).alias("variante")) for op in operations]
-    rows = docs.select(*keys, "texto", "spans", F.explode(F.array(*made)).alias("_v"))
+    seeded = docs.select(*keys, "texto", "spans", own.alias("_seed"), F.explode(F.array(*map(F.lit, operations))).alias("operacao"))
+    made = None
+    for op in operations:
+        v = variant(F.col("texto"), F.col("spans"), op, F.concat_ws("|", F.col("_seed"), F.lit(op)))
+        made = F.when(F.col("operacao") == op, v) if made is None else made.when(F.col("operacao") == op, v)
+    rows = seeded.withColumn("_v", F.struct("operacao", made.alias("variante")))
     kept = F.transform("spans", lambda s: F.contains(F.col("_v.variante"), F.substring(F.col("texto"), s["inicio"] + 1, s["fim"] - s["inicio"])))
     lost = F.size(F.filter(kept, lambda x: ~x))
     return rows.select(*keys, "_v.operacao", "_v.variante", lost.alias("perdidas"))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citaria.functions.spans import disjoint, keep_first, mark
-from citaria.functions.text import citation_type
-from citaria.operators.windows import at_edge, let
+from citaria.functions.text import citation_type, let
+from citaria.operators.windows import at_edge
 
 TAG = r"(?is)<start\b[^>]*>(.*?)<end>"
 SPAN = "struct<inicio:int,fim:int>"
@@ -64,7 +64,7 @@ def citations_of_windows(rows: DataFrame, keys: list[str], overlap: int) -> Data
     a window win over those that reach into its overlap. Windows without citations leave no row.
     """
     kind = "struct<borda:boolean,inicio:int,fim:int,trecho:string>"
-    local = rows.select(*keys, F.col("inicio").alias("_a"), F.col("fim").alias("_b"), "n_texto", "texto", F.explode(tag_spans(F.col("texto"), F.col("raw"))).alias("s"))
+    local = rows.select(*keys, F.col("inicio").alias("_a"), F.col("fim").alias("_b"), "n_texto", "texto", F.explode_outer(tag_spans(F.col("texto"), F.col("raw"))).alias("s")).where("s is not null")
     a, b = F.col("s.inicio") + F.col("_a"), F.col("s.fim") + F.col("_a")
     made = local.select(*keys, F.struct(at_edge(a, b, F.col("_a"), F.col("_b"), F.col("n_texto"), overlap).alias("borda"), a.alias("inicio"), b.alias("fim"), F.substring(F.col("texto"), F.col("s.inicio") + 1, F.col("s.fim") - F.col("s.inicio")).alias("trecho")).alias("c"))
     merged = made.groupBy(*keys).agg(keep_first(F.array_sort(F.collect_list("c")), kind).alias("c"))

@@ -25,7 +25,7 @@ def silver_examples(windows: DataFrame, citations: DataFrame, keys: list[str], s
     inside = w.join(c, cond).select(*(w[k] for k in keys), "w0", F.struct((F.col("c0") - F.col("w0")).alias("inicio"), (F.col("c1") - F.col("w0")).alias("fim")).alias("_s"))
     spans = inside.groupBy(*keys, "w0").agg(F.array_sort(F.collect_list("_s")).alias("spans"))
     rows = w.join(spans, [*keys, "w0"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<inicio:int,fim:int>>")))
-    made = rows.withColumn("marcado", accepted_mark(F.col("texto"), F.col("spans"))).where("marcado is not null")
+    made = rows.withColumn("marcado", F.explode_outer(F.array(accepted_mark(F.col("texto"), F.col("spans"))))).where("marcado is not null")
     doc = F.concat_ws("#", *(F.col(k).cast("string") for k in keys))
     messages = F.concat(prompt(system, doc, F.col("texto")), F.array(F.struct(F.lit("assistant").alias("role"), F.col("marcado").alias("content"))))
     return made.select(*keys, F.col("w0").alias("inicio"), F.size("spans").alias("n_spans"), messages.alias("messages"))

@@ -10,17 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citaria.functions.text import let
+
 SEPARATORS = ("\n\n", "\n", " ")
 KIND = "array<struct<inicio:int,fim:int>>"
 #: Characters of text in a window, and shared by two, for the default model.
 DEFAULT_BUDGET, DEFAULT_OVERLAP = 1830, 200
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def last_at(reversed_piece: Column, length: Column, separator: str) -> Column:
     """Index of the last occurrence in a piece given reversed; negative for none."""
     at = F.locate(separator[::-1], reversed_piece)
@@ -57,7 +54,8 @@ def window_spans(text: Column, budget: int, overlap: int) -> Column:
 def windows(docs: DataFrame, keys: list[str], text: str = "text", budget: int = DEFAULT_BUDGET, overlap: int = DEFAULT_OVERLAP) -> DataFrame:
     """(keys..., janela INT from 0, inicio, fim, n_text, texto): one row a window."""
     spans = docs.select(*keys, F.col(text).alias("_t")).withColumn("_s", window_spans(F.col("_t"), budget, overlap))
-    rows = spans.select(*keys, "_t", F.posexplode("_s").alias("janela", "_w"))
+    # the outer form: the plain one infers a filter that computes the windows a second time, under any exchange
+    rows = spans.select(*keys, "_t", F.posexplode_outer("_s").alias("janela", "_w")).where("janela is not null")
     return rows.select(*keys, "janela", F.col("_w.inicio").alias("inicio"), F.col("_w.fim").alias("fim"), F.length("_t").alias("n_texto"), F.substring(F.col("_t"), F.col("_w.inicio") + 1, F.col("_w.fim") - F.col("_w.inicio")).alias("texto"))
 
 

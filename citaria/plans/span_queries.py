@@ -10,14 +10,14 @@ from citaria.functions import text as T
 from citaria.operators import augment, extract, resolve, tags, train_data, windows
 from citaria.plans import views as V
 from citaria.plans.text_queries import WS, ws  # noqa: F401
-from citaria.session import ship_package, table
+from citaria.session import scanned, table
 
 SMALL_BUDGET, SMALL_OVERLAP = 300, 40
 SPAN = "struct<inicio:int,fim:int>"
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return scanned(spark, sf, "documents")
 
 
 def _windows(spark: SparkSession, sf: str, budget: int, overlap: int, keys=("doc_id",)) -> DataFrame:
@@ -59,7 +59,7 @@ def span_locate_ws(spark: SparkSession, sf: str) -> DataFrame:
 
 def tag_parse(spark: SparkSession, sf: str) -> DataFrame:
     e = V.examples(spark, sf, "prata").where("texto is not null and raw is not null")
-    s = e.select("exemplo_id", F.posexplode(tags.tag_spans(F.col("texto"), F.col("raw"))).alias("posicao", "s"))
+    s = e.select("exemplo_id", F.posexplode_outer(tags.tag_spans(F.col("texto"), F.col("raw"))).alias("posicao", "s")).where("posicao is not null")
     return s.select("exemplo_id", "posicao", "s.inicio", "s.fim")
 
 
@@ -82,7 +82,7 @@ def nms_document(spark: SparkSession, sf: str) -> DataFrame:
 def valid_spans(spark: SparkSession, sf: str) -> DataFrame:
     p = V.predictions(spark, sf).groupBy(*V.RUN_KEYS).agg(F.array_sort(F.collect_list(F.struct("inicio", "fim"))).alias("l"))
     d = _docs(spark, sf).select(*V.TEXT_KEYS, F.length("text").alias("n"))
-    j = p.join(d, V.TEXT_KEYS).select(*V.RUN_KEYS, F.explode(spans.disjoint(F.col("l"), F.col("n"))).alias("s"))
+    j = p.join(d, V.TEXT_KEYS).select(*V.RUN_KEYS, F.explode_outer(spans.disjoint(F.col("l"), F.col("n"))).alias("s")).where("s is not null")
     return j.select(*V.RUN_KEYS, "s.inicio", "s.fim")
 
 
@@ -174,7 +174,8 @@ def label_mask(spark: SparkSession, sf: str) -> DataFrame:
     ids = F.transform(F.concat("p", "r"), F.length)
     starts = F.concat(F.transform("p", lambda _: F.lit(0)), F.transform("r", lambda _: F.col("at")))
     e = e.select("exemplo_id", train_data.masked(ids, starts, F.col("at"), 100).alias("m"))
-    return e.where("m is not null").select("exemplo_id", F.size("m.input_ids").alias("n"), F.size(F.filter("m.labels", lambda x: x != train_data.IGNORED)).alias("n_aprender"))
+    e = e.select("exemplo_id", F.explode_outer(F.array("m")).alias("m")).where("m is not null")
+    return e.select("exemplo_id", F.size("m.input_ids").alias("n"), F.size(F.filter("m.labels", lambda x: x != train_data.IGNORED)).alias("n_aprender"))
 
 
 def _variant(operation: str):

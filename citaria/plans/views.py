@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from citaria.functions import chat
 from citaria.functions import text as T
 from citaria.operators.score import first_rows, indexed
-from citaria.session import table
+from citaria.session import scanned, table
 
 TEXT_KEYS = ["documento_id", "parte"]
 RUN_KEYS = ["run", "documento_id", "parte"]
@@ -164,4 +164,4 @@ def examples(spark: SparkSession, sf: str, name: str = "prata") -> DataFrame:
     """(key, texto, raw): the text of a chat example and its marked answer."""
     key = "exemplo_id" if name == "prata" else "documento_id"
     m = F.col("messages")
-    return table(spark, sf, name).select(key, chat.after_first_line(chat.of_role(m, "user")).alias("texto"), chat.of_role(m, "assistant").alias("raw"))
+    return scanned(spark, sf, name).select(key, chat.after_first_line(chat.of_role(m, "user")).alias("texto"), chat.of_role(m, "assistant").alias("raw"))

@@ -69,6 +69,17 @@ def bounded_rows(df: DataFrame, bound: int) -> list | None:
     return rows if len(rows) <= bound else None
 
 
+def scanned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that costs much a row: read from fewer splits than there are cores, it is spread over them.
+
+    The number of splits is known from the scan's metadata; on many files or row groups
+    nothing is shuffled.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def blank(col) -> F.Column:
     """Null, empty, or nothing but white space (Unicode)."""
     return col.isNull() | col.rlike(r"(?U)^\s*$")
