@@ -7,7 +7,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from citaria.operators.codec import encode_cell
@@ -23,10 +22,22 @@ RUN_STAMP = "%Y%m%dT%H%M%S"
 NOT_CONTRACTS = ("meta.json", "resumo.json")
 
 
+#: Schema of the file source, which a stream needs beforehand.
+FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _texts(files: DataFrame) -> DataFrame:
+    return files.select(stems(F.col("path")).alias("documento_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("texto"))
+
+
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(documento_id, texto): one row a .txt file of a folder; the id is the file's stem."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
-    return df.select(stems(F.col("_metadata.file_name")).alias("documento_id"), F.col("value").alias("texto"))
+    """(documento_id, texto): one row a .txt file of a folder; the id is the file's stem. Spark skips empty files: look texts up by a left join, null for empty."""
+    return _texts(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder))
+
+
+def stream_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """read_texts as a stream."""
+    return _texts(spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", "*.txt").load(folder))
 
 
 def read_golden_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -137,10 +148,10 @@ class SqliteCorpus(DataSource):
     def name(cls) -> str:
         return "sqlite_corpus"
 
-    def schema(self) -> S.StructType:
-        return S._parse_datatype_string("id string, natureza string, tribunal string, relator string, texto string, texto_len int")
+    def schema(self) -> str:
+        return "id string, natureza string, tribunal string, relator string, texto string, texto_len int"
 
-    def reader(self, schema: S.StructType) -> DataSourceReader:
+    def reader(self, schema) -> DataSourceReader:
         return SqliteReader(self.options)
 
 
@@ -167,11 +178,5 @@ class SqliteReader(DataSourceReader):
             yield str(id_), kind, court, reporter, text, n
 
 
-def stream_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """read_texts as a stream."""
-    df = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
-    return df.select(stems(F.col("_metadata.file_name")).alias("documento_id"), F.col("value").alias("texto"))
-
-
 def document_key(*parts: str) -> Column:
     return F.concat_ws("#", *(F.col(p).cast("string") for p in parts))
