@@ -42,7 +42,7 @@ MIN_DROP, LOST_COST = 1.0, 2.5
 #: Characters that texts in Portuguese, Spanish and English hold by themselves.
 LOWER, UPPER, MARKS = "áàâãéêíóôõúçñü", "ÁÀÂÃÉÊÍÓÔÕÚÇÑÜ", "ºª°§“”‘’–—…«»€¿¡´•\u00a0"
 #: What a text must hold to be looked at closely: a character outside the above (ASCII and combining marks aside), or a letter where none belongs.
-SUSPICIOUS = rf"[^\x00-\x7f{LOWER}{UPPER}{MARKS}̀-ͯ]|[a-z{LOWER}][{UPPER}]|[ÂÃ][^A-Za-zÀ-ÖØ-öø-ÿ]|[ÂÃÀ-ß]$|[A-Za-z][{MARKS}][A-Za-z]|[âÃ](?=[A-Z\s])"
+SUSPICIOUS = rf"[^\x00-\x7f{LOWER}{UPPER}{MARKS}̀-ͯ]|[a-z{LOWER}][{UPPER}]|[ÂÃ][^A-Za-zÀ-ÖØ-öø-ÿ]|[ÂÃÀ-ß]$|[A-Za-z][{MARKS}][A-Za-z]|â(?![a-zà-ÿ])|(?<![A-Za-zÀ-ÿ])Ã(?=[a-z])"
 
 SEEN = re.compile(SUSPICIOUS)
 #: Texts of these characters alone hold nothing of the kind; told from the set of a text's characters.
@@ -117,15 +117,22 @@ LETTERS = frozenset("alunxXz")
 LATIN = frozenset("alunxX")
 
 
-def cost(text: str) -> float:
-    """How garbled a text looks. Only characters beyond ASCII, by their neighbours, cost anything."""
+def cost(text: str, lone: bool = True) -> float:
+    """How garbled a text looks. Only characters beyond ASCII, by their neighbours, cost anything.
+
+    lone: count letters that UTF-8 sequences leave when their other characters were dropped.
+    """
     total = 0.0
     n = len(text)
     for run in HIGH_RUN.finditer(text):
         for i in range(run.start(), run.end()):
             c = text[i]
             k = kind(c)
-            if k == "n" or k == "l":
+            if k == "n":
+                continue
+            if k == "l":  # no word ends in this one: what is left of a dash or a quotation mark
+                if lone and c == "â" and (i + 1 == n or kind(text[i + 1]) not in LATIN) and not (i and text[i - 1].isupper()):
+                    total += 2.5
                 continue
             before = text[i - 1] if i else " "
             after = text[i + 1] if i + 1 < n else " "
@@ -136,7 +143,9 @@ def cost(text: str) -> float:
                 if before.islower() and kb in LATIN and kb != "n":
                     total += 2.5
                 elif c in "ÃÂ" and (ka not in LATIN or ka == "n") and not (before.isupper() and kb in LATIN):
-                    total += 2
+                    total += 2.5
+                elif c == "Ã" and kb not in LATIN and after.islower():
+                    total += 2.5
                 elif after.islower() and kb in LATIN and kb != "n" and not before.isupper():
                     total += 2
                 elif k == "X":
@@ -154,7 +163,7 @@ def cost(text: str) -> float:
                 if c == "\u00a0":
                     total += 0.3 if kb == "u" else 0
                 elif c in "ºª°":
-                    total += 1.5 if kb in "u" and not before.isupper() or ka in LATIN else 0
+                    total += 1.5 if kb in LATIN and ka in LATIN else 0
                 elif c == "’" or c == "‘":
                     total += 0
                 elif c == "¿" or c == "¡":
@@ -252,11 +261,12 @@ def step(text: str, now: float) -> tuple[float, str, str]:
                 best = (c, made, f"utf_8<{e}")
     if best[2]:
         return best
+    base = now = cost(text, False)
     for a, b in MIXED:
         for way in (swapped, swapped_in_part):
             made = way(text, a, b)
-            if made != text and (c := cost(made)) < best[0] - 0.5 and c <= now / 2:
-                best = (c, made, f"{b}<{a}")
+            if made != text and (c := cost(made, False)) < now - 0.5 and c <= base / 2:
+                now, best = c, (cost(made), made, f"{b}<{a}")
     return best
 
 
