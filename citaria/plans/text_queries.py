@@ -91,7 +91,6 @@ _BINDING = "regexp_matches(trecho, 'vinculante', 'i')"
 
 
 def cited_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Case numbers with scanner letters: the pattern needs a lookahead, which the oracle's regex has not."""
     return _c(spark, sf).select("citacao_id", F.explode(T.cited_numbers(F.col("trecho"))).alias("numero"))
 
 
@@ -193,6 +192,30 @@ c AS (SELECT citacao_id, {_ARTICLE} AS numero, {_code_expr} AS diploma FROM ({_c
 n AS (SELECT c.*, count(DISTINCT s.id) AS n, min(s.id) AS id FROM c LEFT JOIN statutes s ON s.numero = c.numero AND s.diploma = c.diploma GROUP BY ALL)
 SELECT citacao_id, CASE WHEN numero IS NULL OR diploma IS NULL THEN 'incompleta' ELSE {_verdict('n')} END AS classificacao, CASE WHEN n = 1 THEN id END AS id_canonico FROM n"""
 
+# The pattern of cited numbers looks ahead. Scanner letters before a digit, a separator or the end become
+# marks first, so that the rest of the pattern needs no lookahead.
+_MARKS = "".join(chr(0x2460 + k) for k in range(len(T.OCR_LETTERS)))
+_marked = rf"regexp_replace(coalesce(trecho, ''), '{T.DATE}', ' ', 'g')"
+for _letter, _mark in zip(T.OCR_LETTERS, _MARKS):
+    _marked = rf"regexp_replace({_marked}, '{_letter}((?:[\d.\-/]|{WS})|$)', '{_mark}\1', 'g')"
+_FOUND = rf"regexp_extract_all({_marked}, '[0-9](?:[\d.\-/{_MARKS}]|{WS})*[0-9{_MARKS}]')"
+_NUMBERS = f"""list_filter(list_transform({_FOUND}, lambda x: {D(f"translate(x, '{_MARKS}', '{T.OCR_DIGITS}')")}), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^(19|20)[0-9][0-9]$'))"""
+_CITED = f"""cited AS (SELECT citacao_id, documento_id, parte, inicio, fim, list_filter(o, lambda x, i: list_position(o, x) = i) AS numeros FROM (SELECT *, {_NUMBERS} AS o FROM extract_citacoes WHERE {{where}}))"""
+_WORDS = "list_distinct(regexp_extract_all({0}, '[a-z]{{4,}}'))".format
+_FEATURES = f"""WITH {V.CORPUS_SQL}, {_RULINGS}, {_CITED.replace("{where}", f"{_ROUTE} = 'acordao'")},
+ctx AS (SELECT c.*, lower({A("coalesce(substring(d.text, greatest(0, c.inicio - 250) + 1, c.fim + 250 - greatest(0, c.inicio - 250)), '')")}) AS ctx FROM cited c LEFT JOIN documents d USING (documento_id, parte)),
+nums AS (SELECT citacao_id, ctx, unnest(numeros) AS numero FROM ctx),
+hits AS (SELECT DISTINCT citacao_id, ctx, r.id, r.texto_len, r.cabecalho, r.relator FROM nums JOIN rulings r USING (numero)),
+cand AS (SELECT citacao_id, id, texto_len, len(list_intersect({_WORDS("ctx")}, {_WORDS("cabecalho")})) AS pontos,
+  len(list_filter(regexp_split_to_array(lower({A("relator")}), '{WS}+'), lambda p: length(p) > 3 AND p NOT IN ({", ".join(f"'{t}'" for t in R.TITLES)}) AND contains(ctx, p))) > 0 AS citado FROM hits),
+top AS (SELECT *, max(pontos) OVER (PARTITION BY citacao_id) AS top FROM cand),
+feat AS (SELECT citacao_id, count(*) AS n, min(id) AS um, min(texto_len) AS menor, max(texto_len) AS maior, arg_max(id, {{'l': texto_len, 'i': id::BIGINT}}) AS mais_longo, max(pontos) AS pontos,
+  count(*) FILTER (pontos = top) AS n_pontos, max(id) FILTER (pontos = top) AS por_cabecalho, count(*) FILTER (citado) AS n_relator, max(id) FILTER (citado) AS por_relator FROM top GROUP BY citacao_id)"""
+_SAME = f"maior > 0 AND menor >= maior * {R.SAME_LENGTH}::DOUBLE"
+_RULED = f"""ruled AS (SELECT c.citacao_id, CASE WHEN len(numeros) = 0 THEN NULL WHEN n = 1 THEN um WHEN {_SAME} THEN mais_longo WHEN pontos > 0 AND n_pontos = 1 THEN por_cabecalho WHEN n_relator = 1 THEN por_relator END AS id_canonico,
+  len(numeros) = 0 AS nada, n FROM cited c LEFT JOIN feat f USING (citacao_id)),
+ruling_out AS (SELECT citacao_id, CASE WHEN nada THEN 'incompleta' WHEN n IS NULL THEN 'inventada' WHEN id_canonico IS NOT NULL THEN 'real' ELSE 'incompleta' END AS classificacao, id_canonico FROM ruled)"""
+
 QUERIES = {
     "strip_accents": scalar(sem_acento=T.strip_accents),
     "base_form": scalar(base=T.base_form),
@@ -243,5 +266,11 @@ ORACLE = {
     "resolve_sumula": _RESOLVE_SUMULA,
     "resolve_lei": _RESOLVE_LEI,
     "route_counts": f"SELECT {_ROUTE} AS rota, count(*) AS n FROM extract_citacoes GROUP BY ALL",
+    "case_numbers": f"WITH {_CITED.replace('{where}', 'true')} SELECT citacao_id, unnest(numeros) AS numero FROM cited",
+    "resolve_acordao": f"{_FEATURES}, {_RULED} SELECT * FROM ruling_out",
+    "tiebreak_length": f"{_FEATURES} SELECT citacao_id, menor, maior, CASE WHEN {_SAME} THEN mais_longo END AS id_canonico FROM feat WHERE n > 1",
+    "tiebreak_header": f"{_FEATURES} SELECT citacao_id, pontos, CASE WHEN pontos > 0 AND n_pontos = 1 THEN por_cabecalho END AS id_canonico FROM feat WHERE n > 1",
+    "tiebreak_reporter": f"{_FEATURES} SELECT citacao_id, n_relator, CASE WHEN n_relator = 1 THEN por_relator END AS id_canonico FROM feat WHERE n > 1",
+    "resolve_router": f"{_FEATURES}, {_RULED}, done AS (SELECT * FROM ruling_out UNION ALL SELECT * FROM ({_RESOLVE_SUMULA}) UNION ALL SELECT * FROM ({_RESOLVE_LEI})) SELECT citacao_id, {_TYPE} AS tipo, d.classificacao, d.id_canonico FROM done d JOIN extract_citacoes USING (citacao_id)",
     "no_corpus": f"SELECT citacao_id, {_TYPE} AS tipo, CASE WHEN classificacao = 'real' THEN 'incompleta' ELSE classificacao END AS classificacao, NULL::VARCHAR AS id_canonico FROM extract_citacoes",
 }
