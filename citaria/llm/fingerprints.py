@@ -105,34 +105,66 @@ def code_and_blocks(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 CODE_WORDS = -(-2 * VALUES // 64)
 
 
+def keyed(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """(keep..., sig BINARY, text) of the rows with a text; sig is the text's digest, which stands for all its copies."""
+    return df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(*keep, F.unhex(F.md5(text)).alias("sig"), F.col(text).alias("text"))
+
+
 def sketch(df: DataFrame, keep: list[str], text: str, width: int = 3) -> DataFrame:
-    """(keep..., sig BINARY, seqs ARRAY<BIGINT>, code ARRAY<BIGINT>, blocks ARRAY<BIGINT>), one row for each
-    row whose text has a sequence of `width` words. sig identifies the set of sequences."""
+    """(keep..., code ARRAY<BIGINT>, blocks ARRAY<BIGINT>), one row for each row whose text has a sequence of `width` words."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sketcher(width)
-        for batch in batches:
-            last = batch.num_columns - 1
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows, sig, seqs, codes, blocks = [], [], [], [], []
-                for k, t in enumerate(part.column(last).to_pylist()):
-                    s = own.sequences(t)
-                    if not len(s):
-                        continue
+        for part in parts(batches):
+            rows, codes, blocks = [], [], []
+            for k, t in enumerate(part.column(len(keep)).to_pylist()):
+                s = own.sequences(t)
+                if len(s):
                     code, segments = code_and_blocks(minima(s))
                     rows.append(k)
-                    sig.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    seqs.append(s.view(np.int64))
-                    codes.append(code.view(np.int64))
-                    blocks.append(segments.view(np.int64))
-                if not rows:
-                    continue
-                lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in col])]).astype(np.int32), pa.array(np.concatenate(col))) for col in (seqs, codes, blocks)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows)) for c in range(last)), pa.array(sig, pa.binary()), *lists], names=[*keep, "sig", "seqs", "code", "blocks"])
-
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, sig binary, seqs array<bigint>, code array<bigint>, blocks array<bigint>")
+                    codes.append(code)
+                    blocks.append(segments)
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows)) for c in range(len(keep))), lists(codes), lists(blocks)], names=[*keep, "code", "blocks"])
+
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, code array<bigint>, blocks array<bigint>")
+
+
+def sequence_sets(df: DataFrame, key: str, text: str, width: int = 3) -> DataFrame:
+    """(key, seqs ARRAY<BIGINT>): the distinct hashed sequences of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Sketcher(width)
+        for part in parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), lists([own.sequences(t) for t in part.column(1).to_pylist()])], names=[key, "seqs"])
+
+    return df.select(key, F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, seqs array<bigint>")
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    edges = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(a) for a in arrays], out=edges[1:])
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def verified(pairs: DataFrame, a: str, b: str, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(a, b, similaridade) of the pairs of digests whose texts' whole sets of sequences are that similar.
+
+    texts: sig, text, copies included. Only texts that are in a pair are read as sets.
+    """
+    pairs = pairs.checkpoint()
+    used = pairs.select(F.col(a).alias("sig")).unionByName(pairs.select(F.col(b).alias("sig"))).distinct()
+    own = texts.select("sig", "text").join(used, "sig", "left_semi").dropDuplicates(["sig"])
+    sets = sequence_sets(own, "sig", "text", width)
+    both = pairs.join(sets.withColumnsRenamed({"sig": a, "seqs": "_x"}), a).join(sets.withColumnsRenamed({"sig": b, "seqs": "_y"}), b)
+    return both.withColumn("similaridade", jaccard("_x", "_y")).where(F.col("similaridade") >= similarity).select(a, b, "similaridade")
 
 
 def hamming(a: str, b: str) -> Column:
