@@ -61,14 +61,13 @@ def events(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     paired = F.col("pi").isNotNull()
     right = paired & (F.col("classe_g") == F.col("classe_p")) & ((F.col("classe_g") != "real") | F.coalesce(F.array_contains("ids", F.col("id_canonico")), F.lit(False)))
     of_gold = both.where("gi is not null").select(*keys, "nivel", F.when(paired, "par").otherwise("perdida").alias("caso"), "classe_g", "classe_p", F.coalesce(right.cast("int"), F.lit(0)).alias("acerto"), "confianca")
-    levels = gold.groupBy(*keys).agg(F.max("nivel").alias("_nivel"))
-    loose = both.where("gi is null").select(*keys, "pi", "p0", "p1", "classe_p").join(levels, keys)
-    held = marked.where("pi is not null").select(*keys, "g0", "g1")
-    cond = [loose[k] == held[k] for k in keys] + [contained(loose["p0"], loose["p1"], held["g0"], held["g1"])]
-    part = loose.join(held, cond, "left_semi").withColumn("caso", F.lit("extra"))
-    alone = loose.join(held, cond, "left_anti").withColumn("caso", F.lit("espuria"))
+    # matched golden spans of a text: disjoint, so that its length bounds the list
+    span = F.when(F.col("pi").isNotNull(), F.struct("g0", "g1"))
+    texts = marked.groupBy(*keys).agg(F.max("nivel").alias("_nivel"), F.collect_list(span).alias("_held"))
+    loose = both.where("gi is null").select(*keys, "p0", "p1", "classe_p").join(texts, keys)
+    part = F.exists("_held", lambda g: contained(F.col("p0"), F.col("p1"), g["g0"], g["g1"]))
     none = F.lit(None)
-    spurious = part.unionByName(alone).select(*keys, F.col("_nivel").alias("nivel"), "caso", none.cast("string").alias("classe_g"), "classe_p", F.lit(0).alias("acerto"), none.cast("double").alias("confianca"))
+    spurious = loose.select(*keys, F.col("_nivel").alias("nivel"), F.when(part, "extra").otherwise("espuria").alias("caso"), none.cast("string").alias("classe_g"), "classe_p", F.lit(0).alias("acerto"), none.cast("double").alias("confianca"))
     return of_gold.unionByName(spurious)
 
 

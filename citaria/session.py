@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -47,28 +49,20 @@ def shared_checkpoints(spark: SparkSession) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package, once a session.
+    """Give the Python workers of a cluster this package, once a session.
 
-    Workers that already see the same path (local runs, shared file systems)
-    import it from there; others get the zip that addPyFile distributes.
+    The driver serves it as a zip; workers that run inside the driver's machine and
+    process tree (a plain local master) import it from its place.
     """
     sc = spark.sparkContext
-    if getattr(sc, "_citaria_shipped", False) or sc.master.startswith("local"):
+    if getattr(sc, "_citaria_shipped", False) or re.fullmatch(r"local(\[.*\])?", sc.master):
         return
-    import shutil
-
     root = Path(__file__).resolve().parent
-    out = Path(tempfile.mkdtemp(prefix="citaria-ship-")) / "citaria"
-    sc.addPyFile(shutil.make_archive(str(out), "zip", root.parent, root.name))
+    made = shutil.make_archive(f"{sc._temp_dir}/citaria-{os.getpid()}", "zip", root.parent, root.name)
+    sc.addPyFile(made)
     sc._citaria_shipped = True
 
 
-def bounded_rows(df: DataFrame, bound: int) -> list | None:
-    """The rows of df if there are at most `bound`, else None (take another way)."""
-    rows = df.limit(bound + 1).collect()
-    return rows if len(rows) <= bound else None
-
-
 def scanned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table for work that costs much a row: read from fewer splits than there are cores, it is spread over them.
 
@@ -78,8 +72,3 @@ def scanned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
-
-
-def blank(col) -> F.Column:
-    """Null, empty, or nothing but white space (Unicode)."""
-    return col.isNull() | col.rlike(r"(?U)^\s*$")
