@@ -70,7 +70,7 @@ FILLER = frozenset("a o as os e da do das dos de d n no nº num numero nr nro co
 #: A digit, then digits and scanner letters, in groups parted by a point, a hyphen or a space (the latter two only before a group with a digit).
 NUMBER = r"\d[\dOolISgGBZ]*(?:(?:\s?\.\s?|(?:\s?[\-–]\s?|\s)(?=[OolISgGBZ]*\d))[\dOolISgGBZ]+(?![^\W\d_]))*"
 SPACES = re.compile(r"\s+")
-DATES = re.compile(r"\b\d{1,2}\s?/\s?\d{1,2}\s?/\s?\d{2,4}\b|\b\d{1,2}[º°]? de [^\W\d]+ de \d{4}\b|\bde \d{4}\b(?=\s*$)", re.I)
+DATES = re.compile(r"\b\d{1,2}\s?/\s?\d{1,2}\s?/\s?\d{2,4}\b|\b\d{1,2}[º°]? de [^\W\d]+ de \d{4}\b|\bde\s+(?:19|20)\d{2}\b(?![.\d])", re.I)
 TRAILERS = re.compile(r"\b(?:rel(?:ator|atora)?\b\.?|min\.|dje\b|dj\b|j\.(?=\s*[\d;])|julg(?:ad[oa]|\.)\s+em|publ\w*)[^;]*$", re.I)
 QUALIFIERS = re.compile(
     r"§+\s*(?:unico|\d+[ºo°.]?(?:\s*(?:,|e|a)\s*\d+[ºo°]?)*)|\bpar(?:agrafo|\.)?\s+(?:unico|\d+)|\binc(?:iso)?s?\.?\s+[ivxlcdm\d]+\b|\bal(?:inea)?s?\.?\s+['\"“”‘’]?[a-z]\b['\"“”‘’]?\)?|\bcaput\b|\bitens?\s+\d+|\bitem\s+\d+",
