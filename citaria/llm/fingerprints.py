@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, a: str, b: str, texts: DataFrame, similarity: flo
     pairs = pairs.checkpoint()
     used = pairs.select(F.col(a).alias("sig")).unionByName(pairs.select(F.col(b).alias("sig"))).distinct()
     own = texts.select("sig", "text").join(used, "sig", "left_semi").dropDuplicates(["sig"])
-    sets = sequence_sets(own, "sig", "text", width)
+    sets = sequence_sets(own, "sig", "text", width).checkpoint()  # both sides of a pair read it
     both = pairs.join(sets.withColumnsRenamed({"sig": a, "seqs": "_x"}), a).join(sets.withColumnsRenamed({"sig": b, "seqs": "_y"}), b)
     return both.withColumn("similaridade", jaccard("_x", "_y")).where(F.col("similaridade") >= similarity).select(a, b, "similaridade")
 
