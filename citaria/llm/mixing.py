@@ -109,9 +109,10 @@ def finish(live: list[dict], ends: dict[str, float], budget: int) -> float:
 
 
 def shares(documents: DataFrame, mix: DataFrame, budget: int | None = None, key: str = "doc_id", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, seed: int = 42) -> DataFrame:
-    """(source, peso, tokens_disponiveis, tokens, linhas, repeticoes, parte, desvio) of every source of the mix or of documents.
+    """(source, peso, alvo, tokens_disponiveis, tokens, linhas, repeticoes, parte, desvio) of every source of the mix or of documents.
 
-    parte: share reached; desvio: parte less peso. peso is null for sources that aren't in the mix.
+    alvo: target among the sources of the mix that have documents; parte: share reached;
+    desvio: parte less alvo. peso is null for sources that aren't in the mix.
     """
     counted = sized(documents, key, tokenizer, folder, seed)
     done = mixed(counted, mix, budget, key).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("linhas"), F.max("repeticao").alias("repeticoes"))
@@ -120,4 +121,6 @@ def shares(documents: DataFrame, mix: DataFrame, budget: int | None = None, key:
     rows = want.join(have, "source", "full").join(done, "source", "left").na.fill(0, ["tokens", "linhas", "repeticoes", "tokens_disponiveis"])
     total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
     rows = rows.withColumn("parte", F.when(total > 0, F.col("tokens") / total).otherwise(0.0))
-    return rows.select("source", "peso", "tokens_disponiveis", "tokens", "linhas", "repeticoes", F.round("parte", 6).alias("parte"), F.round(F.col("parte") - F.col("peso"), 6).alias("desvio"))
+    live = F.when((F.col("peso") > 0) & (F.col("tokens_disponiveis") > 0), F.col("peso"))
+    rows = rows.withColumn("alvo", F.try_divide(live, F.sum(live).over(Window.partitionBy(F.lit(0)))))
+    return rows.select("source", "peso", F.round("alvo", 6).alias("alvo"), "tokens_disponiveis", "tokens", "linhas", "repeticoes", F.round("parte", 6).alias("parte"), F.round(F.col("parte") - F.col("alvo"), 6).alias("desvio"))

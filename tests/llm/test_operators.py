@@ -95,7 +95,7 @@ def test_cross_split_pairs(spark):
     texts = corpus(rng, 250)
     split = [rng.choice(["treino", "treino", "validacao", "teste", "outra", None]) for _ in texts]
     rows = [(i, s, "o", chat(t), "x") for i, (s, t) in enumerate(zip(split, texts))]
-    rows += [(900, "treino", None, None, "x"), (901, "teste", None, [], "x"), (902, "teste", "o", [("system", "s")], "x"), (903, "teste", "o", [("user", None)], "x"), (904, "treino", "o", [("user", "uma linha só de cabeçalho longo")], "x")]
+    rows += [(900, "treino", None, None, "x"), (901, "teste", None, [], "x"), (902, "teste", "o", [("system", "s")], "x"), (903, "teste", "o", [("user", None)], "x"), (904, "treino", "o", [("user", "uma linha só de cabeçalho longo")], "x"), (None, "treino", "o", chat(texts[0]), "x")]
     df = spark.createDataFrame(rows, f"exemplo_id bigint, divisao string, origem string, messages {MESSAGES}, sig string")
     sets = {i: sequences(t) for i, t in enumerate(texts)}
     want = {tuple(sorted((i, j))) for i, j in itertools.product(range(len(texts)), repeat=2) if split[i] == "treino" and split[j] in ("validacao", "teste") and near(sets[i], sets[j])}
@@ -177,7 +177,7 @@ def test_shares_are_reached(spark):
     assert [r.acumulado for r in rows] == list(itertools.accumulate(r.n_tokens for r in rows))
     assert [r.fim_virtual for r in rows] == sorted(r.fim_virtual for r in rows)
     report = {r.source: r for r in mixing.shares(docs, mix).collect()}
-    assert report["sem_documentos"].tokens == 0 and report["fora"].peso is None and abs(report["b"].parte - 0.3) < 0.01
+    assert abs(report["b"].alvo - 0.3) < 1e-6 and report["sem_documentos"].alvo is None and report["sem_documentos"].tokens == 0 and report["fora"].peso is None and abs(report["b"].parte - 0.3) < 0.01
     prefix = rows[: len(rows) // 3]
     size = sum(r.n_tokens for r in prefix)
     assert abs(sum(r.n_tokens for r in prefix if r.source == "b") / size - 0.3) < 0.03
