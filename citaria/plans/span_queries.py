@@ -244,6 +244,30 @@ j AS (SELECT citacao_id, text, regexp_replace(a, '^\n+|\n+$', '', 'g') AS a FROM
 w AS (SELECT *, array_to_string(list_transform(list_filter(regexp_split_to_array(a, '{WS}+'), lambda x: x <> ''), lambda x: regexp_escape(x)), '{WS}+') AS p, strpos(text, a) AS pos FROM j),
 r AS (SELECT *, CASE WHEN pos = 0 AND p <> '' THEN regexp_extract(text, '(?s)^(.*?)(' || p || ')', 1) END AS h, CASE WHEN pos = 0 AND p <> '' THEN regexp_extract(text, '(?s)^(.*?)(' || p || ')', 2) END AS f FROM w)
 SELECT citacao_id, CASE WHEN a = '' THEN NULL WHEN pos > 0 THEN pos - 1 WHEN length(f) > 0 THEN length(h) END AS inicio, CASE WHEN a = '' THEN NULL WHEN pos > 0 THEN pos - 1 + length(a) WHEN length(f) > 0 THEN length(h) + length(f) END AS fim FROM r"""
+_NEEDLE = "list_filter(list_transform(regexp_extract_all(raw, '(?is)<start\\b[^>]*>(.*?)<end>', 1), lambda x: regexp_replace(x, '^\\n+|\\n+$', '', 'g')), lambda x: x <> '')"
+_WS_PATTERN = f"array_to_string(list_transform(list_filter(regexp_split_to_array(n, '{WS}+'), lambda x: x <> ''), lambda x: regexp_escape(x)), '{WS}+')"
+#: The cursor as a recursion over the tags: ahead exactly, ahead loosely, from the start exactly, from the start loosely.
+def _walk(keys: str) -> str:
+    return f"""walk AS (SELECT {keys}, t, l, 0 AS k, 0::BIGINT AS c, NULL::BIGINT AS a, NULL::BIGINT AS b FROM ex
+  UNION ALL SELECT {keys}, t, l, k + 1, coalesce(b, c), a, b FROM (SELECT *, a + CASE WHEN pa > 0 OR (length(fa) = 0 AND pf > 0) THEN length(n) WHEN length(fa) > 0 THEN length(fa) ELSE length(ff) END AS b FROM (
+    SELECT *, CASE WHEN pa > 0 THEN c + pa - 1 WHEN length(fa) > 0 THEN c + length(ha) WHEN pf > 0 THEN pf - 1 WHEN length(ff) > 0 THEN length(hf) END AS a FROM (
+    SELECT *, CASE WHEN p = '' THEN '' ELSE regexp_extract(r, '(?s)^(.*?)(' || p || ')', 1) END AS ha, CASE WHEN p = '' THEN '' ELSE regexp_extract(r, '(?s)^(.*?)(' || p || ')', 2) END AS fa,
+      CASE WHEN p = '' THEN '' ELSE regexp_extract(t, '(?s)^(.*?)(' || p || ')', 1) END AS hf, CASE WHEN p = '' THEN '' ELSE regexp_extract(t, '(?s)^(.*?)(' || p || ')', 2) END AS ff FROM (
+    SELECT *, strpos(r, n) AS pa, strpos(t, n) AS pf, {_WS_PATTERN} AS p FROM (SELECT {keys}, t, l, k, c, l[k + 1] AS n, substring(t, c + 1) AS r FROM walk WHERE k < len(l))))))),
+lists AS (SELECT {keys}, list([{{'inicio': a, 'fim': b}}] ORDER BY a, b) AS l FROM walk WHERE a IS NOT NULL GROUP BY {keys}),
+kept AS (SELECT {keys}, list_reduce(l, lambda x, y: CASE WHEN len(list_filter(x, lambda z: least(z.fim, y[1].fim) > greatest(z.inicio, y[1].inicio)
+  AND 3 * (least(z.fim, y[1].fim) - greatest(z.inicio, y[1].inicio)) >= (z.fim - z.inicio) + (y[1].fim - y[1].inicio))) > 0 THEN x ELSE list_concat(x, y) END) AS l FROM lists)"""
+
+
+_TAGS = f"""WITH RECURSIVE msg AS (SELECT exemplo_id, list_filter(messages, lambda m: m.role = 'user' AND m.content IS NOT NULL)[1].content AS u, list_filter(messages, lambda m: m.role = 'assistant' AND m.content IS NOT NULL)[1].content AS raw FROM prata),
+ex AS (SELECT exemplo_id, CASE WHEN strpos(u, chr(10)) > 0 THEN substring(u, strpos(u, chr(10)) + 1) ELSE '' END AS t, {_NEEDLE} AS l FROM msg WHERE u IS NOT NULL AND raw IS NOT NULL),
+{_walk("exemplo_id")}
+SELECT exemplo_id, posicao::INT AS posicao, s.inicio::INT AS inicio, s.fim::INT AS fim FROM (SELECT exemplo_id, unnest(l) AS s, unnest(range(len(l))) AS posicao FROM kept)"""
+#: The windows are whole texts here: tags around golden spans are looked for as any others.
+_ROUND_TRIP = f"""WITH RECURSIVE {V.GOLDEN_SQL}, own AS (SELECT documento_id, parte, g.gi, g.inicio, g.fim, d.text FROM golden g JOIN documents d USING (documento_id, parte) WHERE text IS NOT NULL),
+ex AS (SELECT documento_id, parte, any_value(text) AS t, list_filter(list_transform(coalesce(list(substring(text, inicio + 1, fim - inicio) ORDER BY gi) FILTER (fim <= length(text)), []), lambda x: regexp_replace(x, '^\\n+|\\n+$', '', 'g')), lambda x: x <> '') AS l FROM own GROUP BY documento_id, parte),
+{_walk("documento_id, parte")}
+SELECT documento_id, parte, n, coalesce(k.l, []) = coalesce(w.l, []) AS aceita FROM (SELECT documento_id, parte, count(*)::INT AS n, list({{'inicio': inicio::BIGINT, 'fim': fim::BIGINT}} ORDER BY gi) FILTER (fim <= length(text)) AS l FROM own GROUP BY documento_id, parte) w LEFT JOIN kept k USING (documento_id, parte)"""
 _GT = f"WITH {V.GOLDEN_SQL}, gt AS (SELECT g.*, d.text, coalesce(lag(g.fim) OVER (PARTITION BY g.documento_id, g.parte ORDER BY gi), 0) AS prev, max(g.fim) OVER (PARTITION BY g.documento_id, g.parte) AS last FROM golden g JOIN documents d USING (documento_id, parte) WHERE text IS NOT NULL)"
 _FREE, _FIXED, _TAIL = "substring(text, prev + 1, inicio - prev)", "substring(text, inicio + 1, fim - inicio)", "substring(any_value(text), any_value(last) + 1)"
 
@@ -266,6 +290,11 @@ ORACLE = {
     "window_edge_flag": f"WITH RECURSIVE {_windows_sql(SMALL_BUDGET, SMALL_OVERLAP, 'documento_id, parte')}, {V.GOLDEN_SQL} SELECT documento_id, parte, k AS janela, gi, (a > 0 AND g.inicio < a + {SMALL_OVERLAP}) OR (w.fim < n AND g.fim > w.fim - {SMALL_OVERLAP}) AS borda FROM win w JOIN golden g USING (documento_id, parte) WHERE g.inicio >= a AND g.fim <= w.fim",
     "span_locate": _LOOSE.replace("{needle}", "trecho"),
     "span_locate_ws": _LOOSE.replace("{needle}", "' ' || replace(trecho, ' ', chr(10) || '  ')"),
+    "tag_parse": _TAGS,
+    "roundtrip_accept": _ROUND_TRIP,
+    "label_mask": r"""WITH msg AS (SELECT exemplo_id, list_filter(messages, lambda m: m.role = 'user' AND m.content IS NOT NULL)[1].content AS u, list_filter(messages, lambda m: m.role = 'assistant' AND m.content IS NOT NULL)[1].content AS raw FROM prata),
+      w AS (SELECT exemplo_id, len(regexp_extract_all(CASE WHEN strpos(u, chr(10)) > 0 THEN substring(u, strpos(u, chr(10)) + 1) ELSE '' END, '\S+\s*|\s+')) AS p, len(regexp_extract_all(raw, '\S+\s*|\s+')) AS r FROM msg WHERE u IS NOT NULL AND raw IS NOT NULL)
+      SELECT exemplo_id, least(100, p + r)::INT AS n, least(100, r)::INT AS n_aprender FROM w WHERE r > 0""",
     "nms_window": _pred_lists("false") + "SELECT run, documento_id, parte, s.inicio AS inicio, s.fim AS fim FROM s",
     "nms_document": _pred_lists("citacao_id % 4 = 0", "citacao_id % 4 = 0, ") + "SELECT run, documento_id, parte, s.borda AS borda, s.inicio AS inicio, s.fim AS fim FROM s",
     "valid_spans": f"""WITH {V.PRED_SQL}, l AS (SELECT run, documento_id, parte, list([{{'inicio': p.inicio, 'fim': p.fim}}] ORDER BY p.inicio, p.fim) AS l FROM pred p JOIN documents d USING (documento_id, parte) WHERE p.fim <= length(text) GROUP BY run, documento_id, parte),
