@@ -263,11 +263,15 @@ _TAGS = f"""WITH RECURSIVE msg AS (SELECT exemplo_id, list_filter(messages, lamb
 ex AS (SELECT exemplo_id, CASE WHEN strpos(u, chr(10)) > 0 THEN substring(u, strpos(u, chr(10)) + 1) ELSE '' END AS t, {_NEEDLE} AS l FROM msg WHERE u IS NOT NULL AND raw IS NOT NULL),
 {_walk("exemplo_id")}
 SELECT exemplo_id, posicao::INT AS posicao, s.inicio::INT AS inicio, s.fim::INT AS fim FROM (SELECT exemplo_id, unnest(l) AS s, unnest(range(len(l))) AS posicao FROM kept)"""
-#: The windows are whole texts here: tags around golden spans are looked for as any others.
-_ROUND_TRIP = f"""WITH RECURSIVE {V.GOLDEN_SQL}, own AS (SELECT documento_id, parte, g.gi, g.inicio, g.fim, d.text FROM golden g JOIN documents d USING (documento_id, parte) WHERE text IS NOT NULL),
-ex AS (SELECT documento_id, parte, any_value(text) AS t, list_filter(list_transform(coalesce(list(substring(text, inicio + 1, fim - inicio) ORDER BY gi) FILTER (fim <= length(text)), []), lambda x: regexp_replace(x, '^\\n+|\\n+$', '', 'g')), lambda x: x <> '') AS l FROM own GROUP BY documento_id, parte),
+#: The windows are whole texts here; a text may hold tags of its own, so that needles come from the marked text.
+_ROUND_TRIP = f"""WITH RECURSIVE {V.GOLDEN_SQL}, own AS (SELECT g.documento_id, g.parte, g.gi, g.inicio, g.fim, d.text FROM golden g JOIN documents d USING (documento_id, parte) WHERE text IS NOT NULL),
+inside AS (SELECT *, coalesce(lag(fim) OVER (PARTITION BY documento_id, parte ORDER BY gi), 0) AS prev FROM own WHERE fim <= length(text)),
+marks AS (SELECT documento_id, parte, string_agg(substring(text, prev + 1, inicio - prev) || '<start>' || substring(text, inicio + 1, fim - inicio) || '<end>', '' ORDER BY gi) AS m, max(fim) AS last, list({{'inicio': inicio::BIGINT, 'fim': fim::BIGINT}} ORDER BY gi) AS l FROM inside GROUP BY documento_id, parte),
+texts AS (SELECT documento_id, parte, any_value(text) AS t, count(*)::INT AS n FROM own GROUP BY documento_id, parte),
+raws AS (SELECT x.*, coalesce(m, '') || substring(t, coalesce(last, 0) + 1) AS raw, coalesce(l, []) AS w FROM texts x LEFT JOIN marks USING (documento_id, parte)),
+ex AS (SELECT documento_id, parte, t, {_NEEDLE} AS l FROM raws),
 {_walk("documento_id, parte")}
-SELECT documento_id, parte, n, coalesce(k.l, []) = coalesce(w.l, []) AS aceita FROM (SELECT documento_id, parte, count(*)::INT AS n, list({{'inicio': inicio::BIGINT, 'fim': fim::BIGINT}} ORDER BY gi) FILTER (fim <= length(text)) AS l FROM own GROUP BY documento_id, parte) w LEFT JOIN kept k USING (documento_id, parte)"""
+SELECT documento_id, parte, n, coalesce(k.l, []) = w AS aceita FROM raws LEFT JOIN kept k USING (documento_id, parte)"""
 _GT = f"WITH {V.GOLDEN_SQL}, gt AS (SELECT g.*, d.text, coalesce(lag(g.fim) OVER (PARTITION BY g.documento_id, g.parte ORDER BY gi), 0) AS prev, max(g.fim) OVER (PARTITION BY g.documento_id, g.parte) AS last FROM golden g JOIN documents d USING (documento_id, parte) WHERE text IS NOT NULL)"
 _FREE, _FIXED, _TAIL = "substring(text, prev + 1, inicio - prev)", "substring(text, inicio + 1, fim - inicio)", "substring(any_value(text), any_value(last) + 1)"
 
