@@ -18,8 +18,7 @@ def _rounded(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    gold, pred = V.golden(spark, sf), V.predictions(spark, sf)
-    return V.golden_by_run(gold, pred), pred
+    return V.golden_by_run(V.golden(spark, sf), V.runs(spark, sf)), V.predictions(spark, sf)
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:

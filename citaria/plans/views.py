@@ -15,6 +15,8 @@ from citaria.session import scanned, table
 
 TEXT_KEYS = ["documento_id", "parte"]
 RUN_KEYS = ["run", "documento_id", "parte"]
+#: Runs up to which they are broadcast to the golden set.
+MAX_RUNS = 10_000
 SYSTEM = "Marque com <start> e <end> cada fonte jurídica citada e devolva o texto sem outra mudança."
 #: The corpus has labels only; these phrases stand for the articles' wording, by which the corpus rules tell codes apart.
 WORDING = {
@@ -82,9 +84,17 @@ pred AS (SELECT run, documento_id, parte, citacao_id, s.a AS inicio, s.b AS fim,
 """
 
 
-def golden_by_run(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """The golden rows of every text that a run has predictions for."""
-    return gold.join(pred.select(*RUN_KEYS).distinct(), TEXT_KEYS).select(*RUN_KEYS, "nivel", "gi", "inicio", "fim", "classe", "ids")
+def runs(spark: SparkSession, sf: str) -> DataFrame:
+    """(run): the runs that are known or have rows, those that returned nothing included."""
+    named = table(spark, sf, "execucoes").select("run").unionByName(table(spark, sf, "extract_citacoes").select("run"))
+    return named.where("run is not null").distinct()
+
+
+def golden_by_run(gold: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every golden row for every run: texts that a run returned nothing for are scored too."""
+    each = runs.select("run").where("run is not null").distinct()
+    few = each.limit(MAX_RUNS + 1).count() <= MAX_RUNS
+    return gold.crossJoin(F.broadcast(each) if few else each).select(*RUN_KEYS, "nivel", "gi", "inicio", "fim", "classe", "ids")
 
 
 SCORED_SQL = (
