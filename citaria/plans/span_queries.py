@@ -173,7 +173,7 @@ def label_mask(spark: SparkSession, sf: str) -> DataFrame:
     e = e.select("exemplo_id", words(F.col("texto")).alias("p"), words(F.col("raw")).alias("r"), F.length("texto").alias("at"))
     ids = F.transform(F.concat("p", "r"), F.length)
     starts = F.concat(F.transform("p", lambda _: F.lit(0)), F.transform("r", lambda _: F.col("at")))
-    e = e.select("exemplo_id", train_data.masked(ids, starts, F.col("at"), 100).alias("m"))
+    e = e.select("exemplo_id", train_data.masked(ids, starts, F.col("at")).alias("m"))
     e = e.select("exemplo_id", F.explode_outer(F.array("m")).alias("m")).where("m is not null")
     return e.select("exemplo_id", F.size("m.input_ids").alias("n"), F.size(F.filter("m.labels", lambda x: x != train_data.IGNORED)).alias("n_aprender"))
 
