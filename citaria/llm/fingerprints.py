@@ -2,9 +2,9 @@
 
 A text's set of word sequences gives VALUES hash minima (each agrees between two texts
 with the probability of their similarity). Two low bits of each minimum make a code of
-2 x VALUES bits: near texts differ in few bits, others in about half. ROWS minima in a
-row make a segment of the code that is joined by equality; near texts agree in at least
-one of the BLOCKS segments.
+2 x VALUES bits: near texts differ in few bits, others in about half. ROWS whole minima in
+a row make a segment (a MinHash band, not a part of the code) that is joined by equality;
+near texts agree in at least one of the BLOCKS segments. The code only prunes pairs.
 
 With the defaults (42 segments of 3 minima) a pair at similarity 0.6 shares no segment
 with probability (1 - 0.6**3)**42 = 4e-5, and at 0.7 with 4e-8. Its code differs in 50
