@@ -63,7 +63,9 @@ def weights(mix: DataFrame, counted: DataFrame) -> list[dict]:
 def mix_documents(documents: DataFrame, mix: DataFrame, budget: int | None = None, key: str = "doc_id", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, seed: int = 42) -> DataFrame:
     """(key, source, repeticao INT from 1, n_tokens, fim_virtual DOUBLE, acumulado BIGINT), by virtual finish time.
 
-    budget: total tokens; None takes the largest total at which no source with documents runs dry.
+    budget: total tokens; None takes the largest total at which no source with documents runs
+    dry, but at least the tokens of all documents of the mix: sources that can't give their
+    part of that fall short (`shares` tells), and don't shrink the mix.
     """
     return mixed(sized(documents, key, tokenizer, folder, seed), mix, budget, key)
 
@@ -76,10 +78,8 @@ def mixed(counted: DataFrame, mix: DataFrame, budget: int | None, key: str = "do
         return spark.createDataFrame([], f"`{key}` {kind}, source string, repeticao int, n_tokens bigint, fim_virtual double, acumulado bigint")
     ends = {s["source"]: s["reps"] * s["tokens"] / s["peso"] for s in live}
     if budget is None:
-        last = min(ends.values())
-        budget = int(last * sum(s["peso"] for s in live))
-    else:
-        last = finish(live, ends, budget)
+        budget = max(int(min(ends.values()) * sum(s["peso"] for s in live)), sum(s["tokens"] for s in live))
+    last = finish(live, ends, budget)
     docs = sum(s["docs"] for s in live)
     buckets = max(8, min(1 << 20, docs // BUCKET_ROWS * 4))
     facts = spark.createDataFrame([(s["source"], float(s["peso"]), int(s["reps"]), int(s["tokens"])) for s in live], "source string, _peso double, _reps int, _tokens bigint")
