@@ -53,20 +53,13 @@ golden AS (SELECT documento_id, parte, nivel, inicio, fim, lower(trim(classifica
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """(run, documento_id, parte, pi, inicio, fim, classe, id_canonico, confianca) of all runs.
 
-    Retries are dropped. So that alignment has something to decide, spans are varied by
-    their id: shifted, cut in halves, or joined by a part of themselves.
+    Retries are dropped; spans are as given.
     """
     e = table(spark, sf, "extract_citacoes").where("inicio >= 0 and fim > inicio and run is not null and documento_id is not null and parte is not null")
     e = first_rows(e, [*RUN_KEYS, "inicio", "fim"], "citacao_id")
-    c, a, b = F.col("citacao_id"), F.col("inicio"), F.col("fim")
-    middle = (a + F.floor((b - a) / 2)).cast("int")
-    shift = F.when(c % 3 == 0, (c % 5).cast("int")).otherwise(0)
-    span = lambda x, y: F.struct(x.cast("int").alias("a"), y.cast("int").alias("b"))
-    spans = F.when((c % 11 == 0) & (b - a > 1), F.array(span(a, middle), span(middle, b))).when((c % 7 == 0) & (b - a > 4), F.array(span(a, b), span(a + 1, a + 4))).otherwise(F.array(span(a + shift, b + shift)))
     kind = F.lower(F.trim("classificacao"))
     id_ = F.when(kind == "real", T.norm_id(F.col("resolucao.id_canonico")))
-    p = e.select(*RUN_KEYS, "citacao_id", kind.alias("classe"), id_.alias("id_canonico"), "confianca", F.explode(spans).alias("s"))
-    p = p.select(*RUN_KEYS, "citacao_id", F.col("s.a").alias("inicio"), F.col("s.b").alias("fim"), "classe", "id_canonico", "confianca")
+    p = e.select(*RUN_KEYS, "citacao_id", "inicio", "fim", kind.alias("classe"), id_.alias("id_canonico"), "confianca")
     return indexed(p, RUN_KEYS, ["inicio", "fim", "citacao_id"], "pi")
 
 
