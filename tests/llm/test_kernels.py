@@ -182,3 +182,48 @@ def test_clean_texts_are_no_cases(text):
 def test_vocabulary_is_not_in_the_repository():
     root = Path(__file__).resolve().parents[2]
     assert not [p for p in root.rglob("*.json") if p.stat().st_size > 100_000 and "vocab" in json.loads(p.read_text())]
+
+
+REAL = "A petição não é nula: o réu não constituiu advogado, e a sentença, já transitada, dispõe sobre a execução às expensas do órgão. “Súmula” nº 7, § 2º."
+
+
+@pytest.mark.parametrize("read_as", ["cp1252", "mac_roman", "cp850", "cp437", "cp1251", "cp1250", "koi8_r", "iso8859_2", "iso8859_7", "iso8859_5", "cp1257", "cp775", "cp737"])
+def test_utf8_read_as(read_as):
+    text = REAL.replace("“", "").replace("”", "")
+    garbled = text.encode("utf-8").decode(read_as, "ignore")
+    hit, made, layers, rest = garble.repair(garbled)
+    assert hit
+    if garbled.encode(read_as) == text.encode("utf-8"):
+        assert made == text and rest < 1 and layers
+
+
+@pytest.mark.parametrize("read_as,meant", [("cp1257", "cp1252"), ("iso8859_5", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("koi8_r", "cp1252")])
+def test_one_byte_swaps(read_as, meant):
+    text = REAL.replace("“", "").replace("”", "").replace("§ ", "")
+    raw = text.encode(meant)
+    hit, made, _, _ = garble.repair(raw.decode(read_as, "replace"))
+    assert hit
+    if "�" not in raw.decode(read_as, "replace"):
+        assert made == text
+
+
+@pytest.mark.parametrize("layers", [1, 2, 5, 6, 7])
+def test_any_number_of_layers(layers):
+    text = garbled = "Não há ação."
+    for _ in range(layers):
+        garbled = garbled.encode("utf-8").decode("latin-1")
+    hit, made, found, _ = garble.repair(garbled)
+    assert hit and made == text and len(found) == layers
+
+
+def test_letters_lost_without_a_trace_of_bytes():
+    for lost in ("A peti??o n?o ? nula", "A pe?a foi juntada e o r?u n?o apelou.", "the trusteeâs request", "the ìnarrowî ground", "the carrierís notice", "O CONDOMÃNIO E A INTIMAÃÃO"):
+        assert garble.repair(lost)[0], lost
+    for sound in ("Quem apelou? Ninguém.", "Houve dano?sim", "https://a.b/c?id=3&x=y", "A CONSOLIDAÃÇO", "o país e a raiz", "Luís e Paris", "IRMÃ E IRMÃS, AMANHÃ CÃIBRA", "o júri ouviu o réu; e daí?"):
+        assert not garble.repair(sound)[0], sound
+
+
+def test_ascii_texts_with_question_marks_reach_the_operator(spark):
+    rows = [(1, "A peti??o n?o ? nula"), (2, "plain text? yes"), (3, None), (4, ""), (5, "é só isso?")]
+    got = garble.garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [(r.doc_id, r.restaurado) for r in got] == [(1, False)]
