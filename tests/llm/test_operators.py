@@ -40,6 +40,31 @@ def test_mentions_of_a_table(spark, block):
     assert {r.trecho: r.linhas for r in canon.unmatched(got).collect()} == {"nada": 1, "": 1}
 
 
+WIDE = [
+    ("10", "sumula", "STJ", "Súmula 8 do STJ", "Súmula nº 8 do Superior Tribunal de Justiça"), ("11", "sumula", "STJ", "Súmula 7 do STJ", ""), ("12", "sumula", "TJSP", "Súmula 9 do TJSP", "Súmula nº 9 do Tribunal de Justiça de São Paulo"),
+    ("13", "sumula", "TNU", "Súmula 3 da TNU", None), ("14", "dispositivo", None, "art. 5 do Código Penal", "artigo 5 do Código Penal (CP), Decreto-Lei nº 2.848/1940"), ("15", "dispositivo", None, "art. 5 do Código Florestal", "artigo 5 do Código Florestal, Lei nº 12.651/2012"),
+    ("16", "enunciado", "FONAJE", "Enunciado Cível 12 do FONAJE", "Enunciado Cível nº 12 do Fórum Nacional de Juizados Especiais"), ("17", "outro", None, "Carta de Princípios da Magistratura", ""), ("18", "dispositivo", None, "art. 7 do Código Comercial Marítimo Nacional", ""), ("19", "dispositivo", None, "art. 7 do Código Comercial Marítimo Regional", ""), ("20", "sumula", "STJ", None, None),
+]
+NAMED = [
+    ("Súmula 8 do STJ e Súmula 7 do STJ", "10"), ("Súmula 7 do STJ, Súmula 8 do STJ", "11"), ("Súmula 9 do TJSP", "12"), ("súmula nº 9, Tribunal de Justiça de São Paulo", "12"), ("Súmula 3 da TNU", "13"), ("art. 5 do Código Penal", "14"), ("art. 5º, CP", "14"), ("artigo 5 do Decreto-Lei 2.848/40", "14"), ("art. 5 da Lei nº 12.651/2012", "15"),
+    ("Art. 5, Cód. Florestal", "15"), ("Enunciado Cível 12 do FONAJE", "16"), ("segundo a Carta de Princípios da Magistratura, art. 99", "17"), ("art. 7 do Código Comercial Marítimo", "-"), ("art. 7 do Código Comercial Maritimo Regionl", "19"), ("Súmula 9 do STJ", "-"), ("art. 6 do Código Penal", "-"), ("art. 5 do Código de Processo Penal", "-"),
+]
+
+
+@pytest.mark.parametrize("block", [200_000, 2, 1])
+def test_names_come_from_the_list_and_blocks_do_not_matter(spark, block):
+    rows = [(k, t, None) for k, (t, _) in enumerate(NAMED)] + [(100, "art. 7 do Código Comercial Marítimo", ("12",)), (101, "nada", ("Súmula 7 do STJ; Súmula 8 do STJ",))]
+    c = spark.createDataFrame(rows, "citacao_id bigint, trecho string, resolucao struct<id_canonico:string>")
+    got = {r.citacao_id: (r.id_canonico, r.via) for r in canon.map_mentions(c, spark.createDataFrame(WIDE, CANON), max_entries=block).collect()}
+    assert {NAMED[k][0]: got[k][0] for k in range(len(NAMED))} == dict(NAMED)
+    assert got[12] == ("-", "empate") and got[11][1] == "rotulo" and got[100] == ("12", "id") and got[101] == ("11", "filled_nome")
+
+
+def test_too_many_names_are_an_error(spark):
+    with pytest.raises(ValueError, match="more than 2 ways"):
+        canon.shapes_of(spark.createDataFrame(WIDE, CANON), 2)
+
+
 def test_mentions_of_empty_tables(spark):
     c, r = citations(spark), spark.createDataFrame(ROWS, CANON)
     assert canon.map_mentions(c.limit(0), r).count() == 0
