@@ -9,7 +9,8 @@ each source has sent its weight times that time, so the shares hold in every pre
 Scale: the running sums (of a source, then of the whole mix) are prefix sums over
 buckets. A bucket's total is pre-aggregated, the totals are summed in a table of as many
 rows as there are buckets, and a window runs only inside a bucket, so that a source with
-a third of all rows is spread over all tasks. Only one row a source reaches the driver.
+a third of all rows is spread over all tasks. Only sums reach the driver, and one row a
+source where there are few.
 
 Defined results: documents of null source, of a source that isn't in the mix or of no
 tokens are left out (the report names them); a source without documents gets nothing and
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from citaria.llm.tokens import TOKENIZERS, count_tokens
 from citaria.session import shared_checkpoints
 
-#: Rows the mix table may have; it is collected to the driver (one row a source).
+#: Sources up to which their weights are broadcast and the time of the cut is found on the driver; more are joined, and it is found by halving.
 MAX_SOURCES = 10_000
 #: Documents a bucket of a prefix sum should hold.
 BUCKET_ROWS = 20_000
@@ -50,14 +51,11 @@ def sized(documents: DataFrame, key: str, tokenizer: str, folder: str, seed: int
     return counted.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).checkpoint()
 
 
-def weights(mix: DataFrame, counted: DataFrame) -> list[dict]:
-    """One dict a source of the mix: weight, repetitions, tokens and documents at hand."""
-    have = counted.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    clean = mix.where("source is not null and peso > 0").groupBy("source").agg(F.sum("peso").alias("peso"), F.max("max_repeticoes").alias("reps"))
-    rows = clean.join(have, "source", "left").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"the mix has more than {MAX_SOURCES} sources")
-    return [{"source": r.source, "peso": r.peso, "reps": max(r.reps or 1, 1), "tokens": r.tokens or 0, "docs": r.docs or 0} for r in rows]
+def weights(mix: DataFrame, counted: DataFrame) -> DataFrame:
+    """(source, _peso, _reps, _tokens, _docs, _end) of the sources of the mix that have documents; _end: virtual time at which a source runs dry."""
+    have = counted.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("_tokens"), F.count(F.lit(1)).alias("_docs"))
+    clean = mix.where("source is not null and peso > 0").groupBy("source").agg(F.sum("peso").cast("double").alias("_peso"), F.greatest(F.coalesce(F.max("max_repeticoes"), F.lit(1)), F.lit(1)).cast("int").alias("_reps"))
+    return clean.join(have, "source").withColumn("_end", F.col("_reps") * F.col("_tokens") / F.col("_peso")).checkpoint()
 
 
 def mix_documents(documents: DataFrame, mix: DataFrame, budget: int | None = None, key: str = "doc_id", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, seed: int = 42) -> DataFrame:
@@ -70,20 +68,21 @@ def mix_documents(documents: DataFrame, mix: DataFrame, budget: int | None = Non
     return mixed(sized(documents, key, tokenizer, folder, seed), mix, budget, key)
 
 
-def mixed(counted: DataFrame, mix: DataFrame, budget: int | None, key: str = "doc_id") -> DataFrame:
+def mixed(counted: DataFrame, mix: DataFrame, budget: int | None, key: str = "doc_id", max_sources: int = MAX_SOURCES) -> DataFrame:
     spark = counted.sparkSession
-    live = [s for s in weights(mix, counted) if s["tokens"]]
+    facts = weights(mix, counted)
+    sums = facts.agg(F.count(F.lit(1)).alias("n"), F.sum("_peso").alias("peso"), F.sum("_tokens").alias("tokens"), F.sum("_docs").alias("docs"), F.min("_end").alias("first"), F.max("_end").alias("last")).first()
     kind = counted.schema[key].dataType.simpleString()
-    if not live or budget == 0:
+    if not sums.n or budget == 0:
         return spark.createDataFrame([], f"`{key}` {kind}, source string, repeticao int, n_tokens bigint, fim_virtual double, acumulado bigint")
-    ends = {s["source"]: s["reps"] * s["tokens"] / s["peso"] for s in live}
     if budget is None:
-        budget = max(int(min(ends.values()) * sum(s["peso"] for s in live)), sum(s["tokens"] for s in live))
-    last = finish(live, ends, budget)
-    docs = sum(s["docs"] for s in live)
-    buckets = max(8, min(1 << 20, docs // BUCKET_ROWS * 4))
-    facts = spark.createDataFrame([(s["source"], float(s["peso"]), int(s["reps"]), int(s["tokens"])) for s in live], "source string, _peso double, _reps int, _tokens bigint")
-    queue = counted.where("n_tokens > 0").join(F.broadcast(facts), "source").withColumn("_b", F.floor((F.shiftright("_h", 32) + F.lit(1 << 31)) * F.lit(buckets) / F.lit(float(1 << 32))).cast("int"))
+        budget = max(int(sums.first * sums.peso), sums.tokens)
+    few = sums.n <= max_sources
+    last = finish([(r._peso, r._end) for r in facts.select("_peso", "_end").collect()], budget) if few else halved(facts, sums.last, budget)
+    buckets = max(8, min(1 << 20, sums.docs // BUCKET_ROWS * 4))
+    facts = facts.select("source", "_peso", "_reps", "_tokens")
+    facts = F.broadcast(facts) if few else facts
+    queue = counted.where("n_tokens > 0").join(facts, "source").withColumn("_b", F.floor((F.shiftright("_h", 32) + F.lit(1 << 31)) * F.lit(buckets) / F.lit(float(1 << 32))).cast("int"))
     queue = prefix_sum(queue, ["source"], "_b", ["_h", key], "n_tokens", "_sent")
     # an item may pass `last` by its own size only; one pass more than the whole ones covers it
     passes = F.least(F.col("_reps"), F.ceil((F.lit(float(last)) * F.col("_peso")) / F.col("_tokens")).cast("int") + 1)
@@ -96,18 +95,29 @@ def mixed(counted: DataFrame, mix: DataFrame, budget: int | None, key: str = "do
     return kept.select(key, "source", F.col("repeticao").cast("int").alias("repeticao"), "n_tokens", "fim_virtual", "acumulado").orderBy("fim_virtual", "source", key)
 
 
-def finish(live: list[dict], ends: dict[str, float], budget: int) -> float:
-    """The virtual time by which all sources together have sent the budget."""
-    at, sent, open_ = 0.0, 0.0, sorted(live, key=lambda s: ends[s["source"]])
-    while open_:
-        rate, until = sum(s["peso"] for s in open_), ends[open_[0]["source"]]
+def finish(live: list[tuple[float, float]], budget: int) -> float:
+    """The virtual time by which sources (weight, time at which it runs dry) together have sent the budget."""
+    at, sent, open_ = 0.0, 0.0, sorted(live, key=lambda s: s[1])
+    rate = sum(w for w, _ in open_)
+    for weight, until in open_:
         if sent + rate * (until - at) >= budget:
             return at + (budget - sent) / rate + max(1.0, budget * 1e-9)
-        sent, at = sent + rate * (until - at), until
-        open_ = open_[1:]
+        sent, at, rate = sent + rate * (until - at), until, rate - weight
     return at
 
 
+def halved(facts: DataFrame, last: float, budget: int) -> float:
+    """The same for a table of many sources, by halving the time: one sum a step."""
+    sent = lambda t: facts.agg(F.sum(F.col("_peso") * F.least(F.col("_end"), F.lit(t)))).first()[0]
+    low, high = 0.0, last
+    if sent(high) < budget:
+        return high
+    while high - low > max(1.0, high * 1e-9):
+        mid = (low + high) / 2
+        low, high = (low, mid) if sent(mid) >= budget else (mid, high)
+    return high + max(1.0, budget * 1e-9)
+
+
 def shares(documents: DataFrame, mix: DataFrame, budget: int | None = None, key: str = "doc_id", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, seed: int = 42) -> DataFrame:
     """(source, peso, alvo, tokens_disponiveis, tokens, linhas, repeticoes, parte, desvio) of every source of the mix or of documents.
 
