@@ -2,8 +2,10 @@
 
 Method: structure-tree packing. A text is a tree whose levels are sections (headings and
 markup), paragraphs, lines and list items, sentences, clauses, words and, below all,
-code points. Only nodes over the limit are parsed further; their parts are packed and
-then neighbouring parts (sibling subtrees) are merged bottom-up as far as the limit goes.
+code points. Only nodes over the limit are parsed further; their parts are packed, and
+neighbouring siblings that are whole are merged bottom-up as far as the limit goes. The
+last part of an oversized node isn't merged with its next sibling, so that a cut stays at
+the coarser boundary; it is only where it is shorter than a quarter of the limit.
 A piece is a packed part with the last `overlap` code points before it.
 
 Scale: the small run table is joined by broadcast (its size is checked), the size filter
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 
 #: Rows of the run table that may be broadcast; a larger one is joined by shuffle.
 MAX_RUNS = 100_000
+#: A part shorter than the limit over this is merged with what follows, also across levels.
+SCRAP = 4
+#: Pieces in a record batch of the output, about.
+BATCH_PIECES = 4_000
 
 HEADING = re.compile(
     r"^(?:#{1,6}\s|<h[1-6][\s>]|(?:cap[ií]tulo|t[ií]tulo|se[cç][aã]o|anexo|parte)\s+[\divxlc]+|[IVXLC]{1,6}\s*[-–—.)]\s|(?:ementa|relat[oó]rio|voto|dispositivo|ac[oó]rd[aã]o|decis[aã]o|fundamenta[cç][aã]o)\s*:?\s*$)",
@@ -78,13 +84,21 @@ def pack(text: str, a: int, b: int, limit: int, level: int = 0) -> list[tuple[in
     else:
         return hard(text, a, b, limit)
     parts: list[tuple[int, int, str]] = []
+    open_ = False  # whether the last part may take the next node: it is made of whole nodes of this level, or a scrap
     for x, y in nodes:
-        for part in pack(text, x, y, limit, level + 1):
-            kind = LEVELS[level][0] if part[1] == y else part[2]
-            if parts and part[1] - parts[-1][0] <= limit:
-                parts[-1] = (parts[-1][0], part[1], kind)
+        if y - x <= limit:
+            if open_ and y - parts[-1][0] <= limit:
+                parts[-1] = (parts[-1][0], y, LEVELS[level][0])
             else:
-                parts.append((part[0], part[1], kind))
+                parts.append((x, y, LEVELS[level][0]))
+            open_ = True
+            continue
+        own = pack(text, x, y, limit, level + 1)
+        if parts and open_ and (parts[-1][1] - parts[-1][0]) * SCRAP < limit and own[0][1] - parts[-1][0] <= limit:
+            own[0] = (parts.pop()[0], *own[0][1:])
+        own[-1] = (*own[-1][:2], LEVELS[level][0])
+        parts += own
+        open_ = (own[-1][1] - own[-1][0]) * SCRAP < limit
     return parts
 
 
@@ -109,22 +123,18 @@ def split_items(items: DataFrame, runs: DataFrame, key: str = "janela_id") -> Da
     kind = items.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [key, "posicao", "deslocamento", "start", "text", "fronteira", "n_pecas"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32())
         for batch in batches:
+            rows: list[tuple] = []
+            last = batch.num_rows - 1
             for k, (start, text, limit, overlap) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)))):
                 pieces = cut(text, limit, overlap or 0)
-                n = len(pieces)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array([k] * n, pa.int64())),
-                        pa.array(range(1, n + 1), pa.int32()),
-                        pa.array([a for a, _, _ in pieces], pa.int32()),
-                        pa.array([None if start is None else start + a for a, _, _ in pieces], pa.int32()),
-                        pa.array([text[a:b] for a, b, _ in pieces], pa.string()),
-                        pa.array([f for _, _, f in pieces], pa.string()),
-                        pa.array([n] * n, pa.int32()),
-                    ],
-                    names=[key, "posicao", "deslocamento", "start", "text", "fronteira", "n_pecas"],
-                )
+                rows += [(k, p, a, None if start is None else start + a, text[a:b], f, len(pieces)) for p, (a, b, f) in enumerate(pieces, 1)]
+                if rows and (len(rows) >= BATCH_PIECES or k == last):
+                    at, *columns = (pa.array(c, t) for c, t in zip(zip(*rows), kinds))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *columns], names=names)
+                    rows = []
 
     cols = big.select(F.col(key), "start", "text", "_limit", F.col("_overlap"))
     return cols.mapInArrow(run, f"`{key}` {kind}, posicao int, deslocamento int, start int, text string, fronteira string, n_pecas int")

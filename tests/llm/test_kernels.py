@@ -84,6 +84,17 @@ def test_pieces_end_at_boundaries():
     assert pieces.cut("y" * 100, 30, 0) == [(0, 30, "caractere"), (30, 60, "caractere"), (60, 90, "caractere"), (90, 100, "fim")]
 
 
+def test_siblings_of_one_level_are_merged_only_with_each_other():
+    big = "# A\n" + "Uma frase de tamanho médio aqui. " * 8
+    small = "# B\nTexto curto da outra parte.\n"
+    text = big + "\n" + small + "# C\nfim\n"
+    cuts = pieces.cut(text, 120, 0)
+    at = text.index("# B")
+    assert at in [a for a, _, _ in cuts] and cuts[-1][1] == len(text) and [k for a, b, k in cuts if b == at] == ["secao"]
+    assert text[cuts[-1][0] :] == small + "# C\nfim\n"  # whole siblings stay together
+    assert all(b - a <= 120 for a, b, _ in cuts) and "".join(text[a:b] for a, b, _ in cuts) == text
+
+
 # ------------------------------------------------------------------ 5
 def test_trie_join_against_all_pairs():
     rng = random.Random(3)
