@@ -10,15 +10,17 @@ alternative and set an error flag instead of losing the rest of the cell.
     bracketed <- '[' cell ']' / '(' cell ')' / '{' cell '}'
     bare    <- (!separator any)+                            ids
     bare    <- field (',' field){n-1}                       records of n fields
-    field   <- quoted / (!separator !',' any)*
+    field   <- quoted / '[' (!closing any)* ']' &end / (!separator !',' any)*
     end     <- blank* (separator / closing bracket / end of the cell)
 
-Scale: a narrow Arrow map over the two columns it needs; a cell is parsed in one pass,
-quotes that have no end are remembered, so that backtracking stays linear.
+Scale: a narrow Arrow map over the two columns it needs; a cell is parsed in one pass
+without recursion on brackets; quotes that have no end and the last place of each closing
+bracket are remembered, so that backtracking stays linear.
 
 Defined results: null, empty, blank and "-" cells have no values; empty pieces and a
 lone "-" between values are no values; repeated values count each time; positions count
-from 1 within the cell; a record with too few or too many fields, or an id that isn't
+from 1 within the cell; a quote or bracket without its end is left out of the value,
+which has `erro` aspas or colchete and still counts; a record with too few or too many fields, or an id that isn't
 digits only, comes out with `erro` set and doesn't count among the values.
 """
 
@@ -46,6 +48,7 @@ class Peg:
         self.text, self.n, self.fields = text, len(text), fields
         self.separator = ID_SEPARATOR if fields == 1 else RECORD_SEPARATOR
         self.open: set[str] = set()
+        self.last_closing = {c: text.rfind(c) for c in CLOSING.values()}
         self.values: list[tuple[str, str | None]] = []
 
     def skip(self, at: int, comma: bool = True) -> int:
@@ -79,18 +82,28 @@ class Peg:
         self.open.add(q)
         return None
 
-    def field(self, at: int, inside: str) -> tuple[int, str]:
+    def field(self, at: int, inside: str) -> tuple[int, str, bool]:
+        """(position after, value, whether a quote has no end)."""
         k = at
-        while k < self.n and self.text[k] in " \t ":
+        while k < self.n and self.text[k] in " \t\u00a0":
             k += 1
-        if (got := self.quoted(k, inside)) is not None:
+        if (got := self.quoted(k, inside) or self.bracketed(k, inside)) is not None:
             end = got[0]
             while end < self.n and self.text[end] == " " and self.text[end + 1 : end + 2] == ",":
                 end += 1
-            return end, got[1].strip()
+            return end, got[1].strip(), False
         while k < self.n and self.text[k] not in ",|;\r\n\t" and self.text[k] != inside:
             k += 1
-        return k, self.text[at:k].strip()
+        value = self.text[at:k].strip()
+        broken = value[:1] in ('"', "'")
+        return k, value.lstrip("\"'").strip() if broken else value, broken
+
+    def bracketed(self, at: int, inside: str) -> tuple[int, str] | None:
+        """A bracketed field of a record: what stands between the brackets, separators included, within one line and record."""
+        if at >= self.n or self.text[at] not in CLOSING or self.last_closing[CLOSING[self.text[at]]] < at:
+            return None
+        e = self.text.find(CLOSING[self.text[at]], at)
+        return (e + 1, self.text[at + 1 : e]) if not set("|\r\n").intersection(self.text[at:e]) and self.ends(e + 1, inside) else None
 
     def bare(self, at: int, inside: str) -> tuple[int, str, str | None]:
         if self.fields == 1:
@@ -99,14 +112,16 @@ class Peg:
                 k += 1
             k = max(k, at + 1)
             return k, self.text[at:k].strip(), None
-        parts, k = [], at
+        parts, k, broken = [], at, False
         while True:
-            k, part = self.field(k, inside)
+            k, part, wrong = self.field(k, inside)
             parts.append(part)
+            broken |= wrong
             if len(parts) == self.fields or k >= self.n or self.text[k] != ",":
                 break
             k += 1
-        return max(k, at + 1), *self.record(parts)
+        value, wrong = self.record(parts)
+        return max(k, at + 1), value, wrong or ("aspas" if broken else None)
 
     def record(self, parts: list[str]) -> tuple[str, str | None]:
         wrong = "campos" if len(parts) != self.fields else None if re.fullmatch(r"\d+", parts[0]) and re.fullmatch(r"\d+", parts[1]) else "posicao"
@@ -120,30 +135,40 @@ class Peg:
             wrong = "valor"
         self.values.append((value, wrong))
 
-    def cell(self, at: int = 0, inside: str = "") -> int:
-        at = self.skip(at)
-        while at < self.n and self.text[at] != inside:
+    def cell(self) -> None:
+        at, inside, unclosed, outer = 0, "", False, []
+        while (at := self.skip(at)) < self.n:
             c = self.text[at]
-            if (got := self.quoted(at, inside)) is not None:
+            if c == inside:
+                self.flag(unclosed)
+                inside, unclosed = outer.pop()
+                at += 1
+            elif (got := self.quoted(at, inside)) is not None:
                 self.inner(got[1])
                 at = got[0]
-            elif c in CLOSING and CLOSING[c] != inside:
-                close = self.text.find(CLOSING[c], at + 1)
-                at = self.cell(at + 1, CLOSING[c] if close >= 0 else inside)
-                if close < 0:
-                    self.values = [*self.values[:-1], (self.values[-1][0], "colchete")] if self.values else []
-                elif at < self.n:
-                    at += 1
+            elif c in CLOSING and not (self.fields > 1 and outer):
+                if self.last_closing[CLOSING[c]] > at:
+                    outer.append((inside, unclosed))
+                    inside, unclosed = CLOSING[c], False
+                else:
+                    unclosed = True
+                at += 1
             elif c in ('"', "'") and c in self.open:  # malformed: go on without the quote
                 k, value, wrong = self.bare(at + 1, inside)
                 self.emit(value.strip("\"'"), wrong or "aspas")
                 at = k
             else:
-                k, value, wrong = self.bare(at, inside)
+                at, value, wrong = self.bare(at, inside)
                 self.emit(value, wrong)
-                at = k
-            at = self.skip(at)
-        return at
+        while outer:
+            self.flag(unclosed)
+            inside, unclosed = outer.pop()
+        self.flag(unclosed)
+
+    def flag(self, unclosed: bool) -> None:
+        if unclosed and self.values:
+            value, wrong = self.values[-1]
+            self.values[-1] = (value, wrong or "colchete")
 
     def inner(self, text: str) -> None:
         """What a quoted piece holds: a value, or a list of values of its own."""

@@ -81,3 +81,16 @@ def test_tables(spark):
     assert got == [("goldenset", 1, 1, "7"), ("goldenset", 1, 2, "8"), ("goldenset", 1, 3, "8"), ("submission", 1, 1, "1,2,real,5"), ("submission", 1, 2, "3,4,real,6")]
     assert packed_values(sub, gold).count() == 6
     assert packed_found(sub.limit(0), gold.limit(0)).count() == 0
+
+
+def test_brackets_do_not_recurse():
+    assert unpack("[" * 3000) == [] and unpack("[" * 3000 + "7") == [(1, "7", "colchete")]
+    assert [v for _, v, _ in unpack("[" * 2000 + "1]" * 2000)] == ["1"] * 2000
+    assert unpack("[[1],[2]]") == [(1, "1", None), (2, "2", None)] and unpack("(1;2") == [(1, "1", None), (2, "2", "colchete")]
+
+
+def test_malformed_quotes_and_brackets_in_records():
+    assert unpack('1,5,real,"12,0.9|6,9,real,13,0.8', 5) == [(1, "1,5,real,12", "aspas"), (2, "6,9,real,13", None)]
+    assert unpack("1,5,real,[12;13],0.9|6,9,real,(14),0.8", 5) == [(1, "1,5,real,12;13", None), (2, "6,9,real,14", None)]
+    assert unpack("1,5,real,[12,0.9|6,9,real,14,0.8", 5) == [(1, "1,5,real,[12", None), (2, "6,9,real,14", None)]
+    assert unpack("[1,5,real,12,0.9|6,9,real,14,0.8]", 5) == [(1, "1,5,real,12", None), (2, "6,9,real,14", None)]
