@@ -4,9 +4,10 @@ Spans are aligned one to one by overlap (IoU of a half or more, greedy by the la
 ties by golden then predicted index), classes and ids are compared, and the counts become
 F1 a class, a penalty for invented citations taken for real, and a calibration bonus.
 
-Everything is an equality join on the text's key with a residual span condition, then
-conditional aggregation; arrays are only folded within one text, whose length bounds
-them. Defined results: a class without golden citations is left out of the mean; a level
+The golden and the predicted spans of a text are two sorted arrays (`gathered`), which one
+equality join on the text's key brings together; pairs, misses and spurious predictions
+come from folds over the two, and all counts of a level from one conditional aggregation.
+An array holds the spans of one section of a document in one run. Defined results: a class without golden citations is left out of the mean; a level
 without any is left out; without confidences the bonus is 0; a golden text without
 predictions counts as misses; predictions of texts that aren't in the golden set don't count.
 """
@@ -17,33 +18,76 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citaria.functions.spans import contained, greedy_pairs, iou, same_span
+from citaria.functions.text import let
 from citaria.operators.codec import CLASSES
 
 #: Penalty weight, bonus ceiling, level weights (1 for any other level).
 GAMMA, BONUS, LEVEL_WEIGHTS = 0.5, 0.10, {1: 1.0, 2: 2.0}
 
 
-def indexed(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Number the rows of a text from 0, in the order given."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+#: What the arrays of a text hold, in the order that they are sorted by.
+GOLD_FIELDS = ("gi", "inicio", "fim", "nivel", "classe", "ids")
+PRED_FIELDS = ("pi", "inicio", "fim", "classe", "id_canonico", "confianca")
+EVENT = "array<struct<nivel:int,caso:string,classe_g:string,classe_p:string,acerto:int,confianca:double>>"
 
 
-def candidates(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., gi, pi, iou): golden and predicted spans of a text that overlap by half or more."""
-    g = gold.select(*keys, "gi", F.col("inicio").alias("g0"), F.col("fim").alias("g1"))
-    p = pred.select(*keys, "pi", F.col("inicio").alias("p0"), F.col("fim").alias("p1"))
-    c = g.join(p, keys).where(same_span(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")))
-    return c.select(*keys, "gi", "pi", iou(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")).alias("iou"))
+def gathered(df: DataFrame, keys: list[str], order: list[str], fields: list[str], name: str) -> DataFrame:
+    """(keys..., name ARRAY<STRUCT<fields>>): the rows of a text in the order given; rows alike in all but the last
+    column of the order (retries) are the first of them. One shuffle; duplicates are dropped in the text's own array."""
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("_v")))).alias("_l"))
+    before = lambda i: F.get("_l", i - 1)
+    first = lambda x, i: (i == 0) | ~F.struct(*(x[c] for c in order[:-1])).eqNullSafe(F.struct(*(before(i)[c] for c in order[:-1])))
+    return rows.select(*keys, F.transform(F.filter("_l", first), lambda x: x["_v"]).alias(name))
+
+
+def numbered(texts: DataFrame, keys: list[str], name: str, number: str) -> DataFrame:
+    """The rows of gathered texts again, numbered from 0."""
+    return texts.select(*keys, F.posexplode(name).alias(number, "_v")).select(*keys, number, "_v.*")
+
+
+def span_pairs(gold: Column, pred: Column) -> Column:
+    """ARRAY<STRUCT<gi, pi>>: one-to-one pairs of the spans of a text, greedy by overlap."""
+    def candidates(g: Column) -> Column:
+        near = F.filter(pred, lambda p: same_span(g["inicio"], g["fim"], p["inicio"], p["fim"]))
+        return F.transform(near, lambda p: F.struct((-iou(g["inicio"], g["fim"], p["inicio"], p["fim"])).alias("o"), g["gi"].alias("gi"), p["pi"].alias("pi")))
+
+    return greedy_pairs(F.array_sort(F.flatten(F.transform(gold, candidates))))
+
+
+def _by(df: DataFrame, keys: list[str], fields: tuple[str, ...], name: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
 
 def match(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., gi, pi): one-to-one pairs. Pairs without a rival are taken as they are; only the others are folded."""
-    c = candidates(gold, pred, keys)
-    alone = (F.count(F.lit(1)).over(Window.partitionBy(*keys, "gi")) == 1) & (F.count(F.lit(1)).over(Window.partitionBy(*keys, "pi")) == 1)
-    c = c.withColumn("_alone", alone)
-    rivals = c.where("not _alone").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o"), "gi", "pi"))).alias("_l"))
-    folded = rivals.select(*keys, F.explode(greedy_pairs(F.col("_l"))).alias("_p")).select(*keys, "_p.gi", "_p.pi")
-    return c.where("_alone").select(*keys, "gi", "pi").unionByName(folded)
+    """(keys..., gi, pi): one-to-one pairs of the golden and predicted spans of a text."""
+    texts = _by(gold, keys, ("gi", "inicio", "fim"), "gold").join(_by(pred, keys, ("pi", "inicio", "fim"), "pred"), keys)
+    return match_texts(texts, keys)
+
+
+def match_texts(texts: DataFrame, keys: list[str]) -> DataFrame:
+    return texts.select(*keys, F.explode(span_pairs(F.col("gold"), F.col("pred"))).alias("_p")).select(*keys, "_p.gi", "_p.pi")
+
+
+def text_events(gold: Column, pred: Column) -> Column:
+    """The events of a text (see `events`)."""
+    none = lambda kind: F.lit(None).cast(kind)
+    event = lambda *v: F.struct(*(c.alias(n) for c, n in zip(v, ("nivel", "caso", "classe_g", "classe_p", "acerto", "confianca"))))
+
+    def of_gold(g: Column, p: Column) -> Column:
+        right = (g["classe"] == p["classe"]) & ((g["classe"] != "real") | F.coalesce(F.array_contains(g["ids"], p["id_canonico"]), F.lit(False)))
+        return event(g["nivel"], F.when(p["pi"].isNotNull(), "par").otherwise("perdida"), g["classe"], p["classe"], F.coalesce(right.cast("int"), F.lit(0)), p["confianca"])
+
+    def made(pairs: Column) -> Column:
+        partner = lambda g: F.get(F.filter(pairs, lambda q: q["gi"] == g["gi"]), F.lit(0))["pi"]
+        owned = F.transform(gold, lambda g: let(F.get(F.filter(pred, lambda p: p["pi"] == partner(g)), F.lit(0)), lambda p: of_gold(g, p)))
+        held = F.filter(gold, lambda g: F.exists(pairs, lambda q: q["gi"] == g["gi"]))
+        level = F.array_max(F.transform(gold, lambda g: g["nivel"]))
+        loose = F.filter(pred, lambda p: ~F.exists(pairs, lambda q: q["pi"] == p["pi"]))
+        part = lambda p: F.exists(held, lambda g: contained(p["inicio"], p["fim"], g["inicio"], g["fim"]))
+        spurious = F.transform(loose, lambda p: event(level, F.when(part(p), "extra").otherwise("espuria"), none("string"), p["classe"], F.lit(0), none("double")))
+        return F.concat(owned.cast(EVENT), spurious.cast(EVENT))
+
+    return let(span_pairs(gold, pred), made)
 
 
 def events(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,22 +97,15 @@ def events(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     id_canonico, confianca. caso: par, perdida, espuria, extra (a spurious prediction
     inside a matched golden span, which doesn't count).
     """
-    pairs = match(gold, pred, keys)
-    g = gold.select(*keys, "nivel", "gi", F.col("inicio").alias("g0"), F.col("fim").alias("g1"), F.col("classe").alias("classe_g"), "ids")
-    p = pred.select(*keys, "pi", F.col("inicio").alias("p0"), F.col("fim").alias("p1"), F.col("classe").alias("classe_p"), "id_canonico", "confianca")
-    marked = g.join(pairs, [*keys, "gi"], "left")
-    both = marked.join(p, [*keys, "pi"], "full")
-    paired = F.col("pi").isNotNull()
-    right = paired & (F.col("classe_g") == F.col("classe_p")) & ((F.col("classe_g") != "real") | F.coalesce(F.array_contains("ids", F.col("id_canonico")), F.lit(False)))
-    of_gold = both.where("gi is not null").select(*keys, "nivel", F.when(paired, "par").otherwise("perdida").alias("caso"), "classe_g", "classe_p", F.coalesce(right.cast("int"), F.lit(0)).alias("acerto"), "confianca")
-    # matched golden spans of a text: disjoint, so that its length bounds the list
-    span = F.when(F.col("pi").isNotNull(), F.struct("g0", "g1"))
-    texts = marked.groupBy(*keys).agg(F.max("nivel").alias("_nivel"), F.collect_list(span).alias("_held"))
-    loose = both.where("gi is null").select(*keys, "p0", "p1", "classe_p").join(texts, keys)
-    part = F.exists("_held", lambda g: contained(F.col("p0"), F.col("p1"), g["g0"], g["g1"]))
-    none = F.lit(None)
-    spurious = loose.select(*keys, F.col("_nivel").alias("nivel"), F.when(part, "extra").otherwise("espuria").alias("caso"), none.cast("string").alias("classe_g"), "classe_p", F.lit(0).alias("acerto"), none.cast("double").alias("confianca"))
-    return of_gold.unionByName(spurious)
+    texts = _by(gold, keys, GOLD_FIELDS, "gold").join(_by(pred, keys, PRED_FIELDS, "pred"), keys, "left")
+    return events_of_texts(texts, keys)
+
+
+def events_of_texts(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Events of texts (keys, gold, pred): arrays of the fields above; pred may be null."""
+    empty = F.filter(F.array(F.get("pred", F.lit(0))), lambda _: F.lit(False))
+    rows = texts.select(*keys, "gold", F.coalesce("pred", empty).alias("pred"))
+    return rows.select(*keys, F.inline(text_events(F.col("gold"), F.col("pred"))))
 
 
 def _counts(c: str) -> dict[str, Column]:

@@ -17,16 +17,13 @@ def _rounded(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, *(F.round(c, 6).alias(c) for c in df.columns if c not in keep))
 
 
-def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return V.golden_by_run(V.golden(spark, sf), V.runs(spark, sf)), V.predictions(spark, sf)
-
-
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return score.events(*_both(spark, sf), V.RUN_KEYS)
+    return score.events_of_texts(V.scored_texts(spark, sf), V.RUN_KEYS)
 
 
 def match_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return score.match(*_both(spark, sf), V.RUN_KEYS).select(*V.RUN_KEYS, F.col("gi").cast("bigint").alias("gi"), F.col("pi").cast("bigint").alias("pi"))
+    texts = V.scored_texts(spark, sf).where("pred is not null")
+    return score.match_texts(texts, V.RUN_KEYS).select(*V.RUN_KEYS, F.col("gi").cast("bigint").alias("gi"), F.col("pi").cast("bigint").alias("pi"))
 
 
 def confusion_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,9 +60,9 @@ def results_by_model(spark: SparkSession, sf: str) -> DataFrame:
 def _contracts(spark: SparkSession, sf: str) -> DataFrame:
     """(run, documento_id, parte, citacoes): the citations of a section in a run, retries dropped."""
     e = table(spark, sf, "extract_citacoes").where("run is not null and documento_id is not null")
-    e = score.first_rows(e, [*V.RUN_KEYS, "inicio", "fim"], "citacao_id")
-    c = F.struct("inicio", "fim", F.lower(F.trim("classificacao")).alias("classificacao"), "confianca", F.when(F.lower(F.trim("classificacao")) == "real", F.col("resolucao.id_canonico")).alias("id_canonico"))
-    return e.groupBy(*V.RUN_KEYS).agg(F.array_sort(F.collect_list(F.struct("inicio", "fim", "citacao_id", c.alias("c")))).alias("_l")).select(*V.RUN_KEYS, F.transform("_l", lambda x: x["c"]).alias("citacoes"))
+    kind = F.lower(F.trim("classificacao"))
+    e = e.select(*V.RUN_KEYS, "inicio", "fim", "citacao_id", kind.alias("classificacao"), "confianca", F.when(kind == "real", F.col("resolucao.id_canonico")).alias("id_canonico"))
+    return score.gathered(e, V.RUN_KEYS, ["inicio", "fim", "citacao_id"], ["inicio", "fim", "classificacao", "confianca", "id_canonico"], "citacoes")
 
 
 def codec_encode(spark: SparkSession, sf: str) -> DataFrame:

@@ -298,7 +298,7 @@ ORACLE = {
     "roundtrip_accept": _ROUND_TRIP,
     "label_mask": r"""WITH msg AS (SELECT exemplo_id, list_filter(messages, lambda m: m.role = 'user' AND m.content IS NOT NULL)[1].content AS u, list_filter(messages, lambda m: m.role = 'assistant' AND m.content IS NOT NULL)[1].content AS raw FROM prata),
       w AS (SELECT exemplo_id, len(regexp_extract_all(CASE WHEN strpos(u, chr(10)) > 0 THEN substring(u, strpos(u, chr(10)) + 1) ELSE '' END, '\S+\s*|\s+')) AS p, len(regexp_extract_all(raw, '\S+\s*|\s+')) AS r FROM msg WHERE u IS NOT NULL AND raw IS NOT NULL)
-      SELECT exemplo_id, least(100, p + r)::INT AS n, least(100, r)::INT AS n_aprender FROM w WHERE r > 0""",
+      SELECT exemplo_id, least(2048, p + r)::INT AS n, least(2048, r)::INT AS n_aprender FROM w WHERE r > 0""",
     "nms_window": _pred_lists("false") + "SELECT run, documento_id, parte, s.inicio AS inicio, s.fim AS fim FROM s",
     "nms_document": _pred_lists("citacao_id % 4 = 0", "citacao_id % 4 = 0, ") + "SELECT run, documento_id, parte, s.borda AS borda, s.inicio AS inicio, s.fim AS fim FROM s",
     "valid_spans": f"""WITH {V.PRED_SQL}, l AS (SELECT run, documento_id, parte, list([{{'inicio': p.inicio, 'fim': p.fim}}] ORDER BY p.inicio, p.fim) AS l FROM pred p JOIN documents d USING (documento_id, parte) WHERE p.fim <= length(text) GROUP BY run, documento_id, parte),

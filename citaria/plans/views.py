@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citaria.functions import chat
 from citaria.functions import text as T
-from citaria.operators.score import first_rows, indexed
+from citaria.operators.score import GOLD_FIELDS, PRED_FIELDS, gathered, numbered
 from citaria.session import scanned, table
 
 TEXT_KEYS = ["documento_id", "parte"]
@@ -32,13 +32,17 @@ WORDING = {
 }
 
 
-def golden(spark: SparkSession, sf: str) -> DataFrame:
-    """(documento_id, parte, nivel, gi, inicio, fim, classe, ids): distinct valid spans of the golden set, numbered a text."""
+def golden_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(documento_id, parte, gold): the distinct valid golden spans of each text (inicio, fim, nivel, classe, ids), in order."""
     g = table(spark, sf, "goldenset").where("inicio >= 0 and fim > inicio and documento_id is not null and parte is not null")
-    g = first_rows(g, [*TEXT_KEYS, "inicio", "fim"], "linha_id")
     ids = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("id_canonico", F.lit("")), F.lit("([0-9]+)"), F.lit(1)), T.norm_id))
     g = g.select(*TEXT_KEYS, "nivel", "inicio", "fim", F.lower(F.trim("classificacao")).alias("classe"), ids.alias("ids"), "linha_id")
-    return indexed(g, TEXT_KEYS, ["inicio", "fim"], "gi")
+    return gathered(g, TEXT_KEYS, ["inicio", "fim", "linha_id"], ["inicio", "fim", "nivel", "classe", "ids", "linha_id"], "gold")
+
+
+def golden(spark: SparkSession, sf: str) -> DataFrame:
+    """(documento_id, parte, gi, inicio, fim, nivel, classe, ids, linha_id): distinct valid spans of the golden set, numbered a text."""
+    return numbered(golden_texts(spark, sf), TEXT_KEYS, "gold", "gi")
 
 
 GOLDEN_SQL = r"""
@@ -50,30 +54,27 @@ golden AS (SELECT documento_id, parte, nivel, inicio, fim, lower(trim(classifica
 """
 
 
-def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """(run, documento_id, parte, pi, inicio, fim, classe, id_canonico, confianca) of all runs.
-
-    Retries are dropped; spans are as given.
-    """
+def prediction_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(run, documento_id, parte, pred): the predicted spans of each text of a run as given, retries dropped, in order."""
     e = table(spark, sf, "extract_citacoes").where("inicio >= 0 and fim > inicio and run is not null and documento_id is not null and parte is not null")
-    e = first_rows(e, [*RUN_KEYS, "inicio", "fim"], "citacao_id")
     kind = F.lower(F.trim("classificacao"))
     id_ = F.when(kind == "real", T.norm_id(F.col("resolucao.id_canonico")))
     p = e.select(*RUN_KEYS, "citacao_id", "inicio", "fim", kind.alias("classe"), id_.alias("id_canonico"), "confianca")
-    return indexed(p, RUN_KEYS, ["inicio", "fim", "citacao_id"], "pi")
+    return gathered(p, RUN_KEYS, ["inicio", "fim", "citacao_id"], ["inicio", "fim", "classe", "id_canonico", "confianca", "citacao_id"], "pred")
+
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """(run, documento_id, parte, pi, inicio, fim, classe, id_canonico, confianca, citacao_id) of all runs."""
+    return numbered(prediction_texts(spark, sf), RUN_KEYS, "pred", "pi")
 
 
 PRED_SQL = r"""
 pred_rows AS (SELECT *, row_number() OVER (PARTITION BY run, documento_id, parte, inicio, fim ORDER BY citacao_id) AS rn FROM extract_citacoes
   WHERE inicio >= 0 AND fim > inicio AND run IS NOT NULL AND documento_id IS NOT NULL AND parte IS NOT NULL),
-pred_spans AS (SELECT run, documento_id, parte, citacao_id, lower(trim(classificacao)) AS classe, resolucao.id_canonico AS id0, confianca,
-  unnest(CASE WHEN citacao_id % 11 = 0 AND fim - inicio > 1 THEN [{'a': inicio, 'b': inicio + (fim - inicio) // 2}, {'a': inicio + (fim - inicio) // 2, 'b': fim}]
-    WHEN citacao_id % 7 = 0 AND fim - inicio > 4 THEN [{'a': inicio, 'b': fim}, {'a': inicio + 1, 'b': inicio + 4}]
-    ELSE [{'a': inicio + CASE WHEN citacao_id % 3 = 0 THEN (citacao_id % 5)::INT ELSE 0 END, 'b': fim + CASE WHEN citacao_id % 3 = 0 THEN (citacao_id % 5)::INT ELSE 0 END}] END) AS s
-  FROM pred_rows WHERE rn = 1),
-pred AS (SELECT run, documento_id, parte, citacao_id, s.a AS inicio, s.b AS fim, classe, confianca,
-  CASE WHEN classe = 'real' THEN CASE WHEN regexp_matches(trim(id0), '^[0-9]+$') THEN CASE WHEN ltrim(trim(id0), '0') = '' THEN '0' ELSE ltrim(trim(id0), '0') END ELSE trim(id0) END END AS id_canonico,
-  row_number() OVER (PARTITION BY run, documento_id, parte ORDER BY s.a, s.b, citacao_id) - 1 AS pi FROM pred_spans)
+pred_first AS (SELECT run, documento_id, parte, citacao_id, inicio, fim, lower(trim(classificacao)) AS classe, trim(resolucao.id_canonico) AS id0, confianca FROM pred_rows WHERE rn = 1),
+pred AS (SELECT run, documento_id, parte, citacao_id, inicio, fim, classe, confianca,
+  CASE WHEN classe = 'real' THEN CASE WHEN regexp_matches(id0, '^[0-9]+$') THEN CASE WHEN ltrim(id0, '0') = '' THEN '0' ELSE ltrim(id0, '0') END ELSE id0 END END AS id_canonico,
+  row_number() OVER (PARTITION BY run, documento_id, parte ORDER BY inicio, fim, citacao_id) - 1 AS pi FROM pred_first)
 """
 
 
@@ -83,11 +84,26 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     return named.where("run is not null").distinct()
 
 
+def by_run(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every row for every run. The runs are a short list that goes along as a literal; more than MAX_RUNS are a product, as the result is one."""
+    each = runs.select("run").where("run is not null").distinct()
+    few = [r.run for r in each.limit(MAX_RUNS + 1).collect()]
+    if len(few) > MAX_RUNS:
+        return each.crossJoin(texts)
+    return texts.withColumn("run", F.explode(F.array(*map(F.lit, few)) if few else F.array().cast("array<string>")))
+
+
 def golden_by_run(gold: DataFrame, runs: DataFrame) -> DataFrame:
     """Every golden row for every run: texts that a run returned nothing for are scored too."""
-    each = runs.select("run").where("run is not null").distinct()
-    few = each.limit(MAX_RUNS + 1).count() <= MAX_RUNS
-    return gold.crossJoin(F.broadcast(each) if few else each).select(*RUN_KEYS, "nivel", "gi", "inicio", "fim", "classe", "ids")
+    return by_run(gold, runs).select(*RUN_KEYS, "nivel", "gi", "inicio", "fim", "classe", "ids")
+
+
+def scored_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(run, documento_id, parte, gold, pred) of every golden text for every run; each table is read once (and once for the names of its runs)."""
+    named = lambda name, number, fields: F.transform(name, lambda x, i: F.struct(i.alias(number), *(x[c].alias(c) for c in fields))).alias(name)
+    gold = golden_texts(spark, sf).select(*TEXT_KEYS, named("gold", "gi", GOLD_FIELDS[1:]))
+    pred = prediction_texts(spark, sf).select(*RUN_KEYS, named("pred", "pi", PRED_FIELDS[1:]))
+    return by_run(gold, runs(spark, sf)).join(pred, RUN_KEYS, "left")
 
 
 SCORED_SQL = (
@@ -96,7 +112,7 @@ SCORED_SQL = (
     + ","
     + PRED_SQL
     + r""",
-gold AS (SELECT r.run, g.* FROM golden g JOIN (SELECT DISTINCT run, documento_id, parte FROM pred) r USING (documento_id, parte)),
+gold AS (SELECT r.run, g.* FROM golden g CROSS JOIN (SELECT run FROM execucoes WHERE run IS NOT NULL UNION SELECT run FROM extract_citacoes WHERE run IS NOT NULL) r),
 cand AS (SELECT g.run, g.documento_id, g.parte, g.gi, p.pi, least(g.fim, p.fim) - greatest(g.inicio, p.inicio) AS i, (g.fim - g.inicio) + (p.fim - p.inicio) AS w
   FROM gold g JOIN pred p USING (run, documento_id, parte) WHERE least(g.fim, p.fim) > greatest(g.inicio, p.inicio)),
 cand2 AS (SELECT *, i::DOUBLE / (w - i)::DOUBLE AS iou FROM cand WHERE 2 * i >= w - i),
