@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citaria.functions.text import chunked, let, slice_of
+
 #: Overlap that makes two spans the same, and share inside a match that makes a span part of it.
 SAME_SPAN, PART_OF_MATCH = 0.5, 0.9
 
@@ -34,16 +36,22 @@ def contained(p0: Column, p1: Column, g0: Column, g1: Column) -> Column:
     return (p1 > p0) & (10 * intersection(p0, p1, g0, g1) >= 9 * (p1 - p0))
 
 
-def keep_first(spans: Column, kind: str) -> Column:
+def keep_first(spans: Column, kind: str, by_position: bool = False) -> Column:
     """Greedy suppression: in array order, drop a span that overlaps a kept one by half or more.
 
-    kind: the DDL of the array's element type.
+    kind: the DDL of the array's element type. by_position: the array is sorted by inicio, so
+    that a span is compared with the kept ones that reach beyond its beginning only.
     """
-    return F.aggregate(
-        spans,
-        F.array().cast(f"array<{kind}>"),
-        lambda kept, x: F.when(F.exists(kept, lambda k: same_span(k["inicio"], k["fim"], x["inicio"], x["fim"])), kept).otherwise(F.concat(kept, F.array(x))),
-    )
+    same = lambda kept, x: F.exists(kept, lambda k: same_span(k["inicio"], k["fim"], x["inicio"], x["fim"]))
+    none = F.array().cast(f"array<{kind}>")
+    if not by_position:
+        return F.aggregate(spans, none, lambda kept, x: F.when(same(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+
+    def step(s: Column, x: Column) -> Column:
+        live = F.filter(s["live"], lambda k: k["fim"] > x["inicio"])
+        return F.when(same(s["live"], x), s).otherwise(F.struct(F.concat(s["kept"], F.array(x)).alias("kept"), F.concat(live, F.array(x)).alias("live")))
+
+    return F.aggregate(spans, F.struct(none.alias("kept"), none.alias("live")), step, lambda s: s["kept"])
 
 
 def disjoint(spans: Column, length: Column) -> Column:
@@ -59,17 +67,19 @@ def disjoint(spans: Column, length: Column) -> Column:
     )
 
 
+def before(spans: Column, i: Column) -> Column:
+    """Where the span before the i-th ends; 0 for the first."""
+    return F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["fim"])
+
+
 def mark(text: Column, spans: Column) -> Column:
     """The text with <start> and <end> around disjoint spans in order."""
-    folded = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("cursor"), F.lit("").alias("done")),
-        lambda s, x: F.struct(
-            x["fim"].alias("cursor"),
-            F.concat(s["done"], F.substring(text, s["cursor"] + 1, x["inicio"] - s["cursor"]), F.lit("<start>"), F.substring(text, x["inicio"] + 1, x["fim"] - x["inicio"]), F.lit("<end>")).alias("done"),
-        ),
-    )
-    return F.concat(folded["done"], F.substring(text, folded["cursor"] + 1, F.length(text)))
+    def pieces(chunks: Column) -> Column:
+        each = F.transform(spans, lambda x, i: F.concat(slice_of(chunks, before(spans, i), x["inicio"] - before(spans, i)), F.lit("<start>"), slice_of(chunks, x["inicio"], x["fim"] - x["inicio"]), F.lit("<end>")))
+        rest = before(spans, F.size(spans))
+        return F.concat(F.array_join(each, ""), slice_of(chunks, rest, F.length(text) - rest))
+
+    return let(chunked(text), pieces)
 
 
 def greedy_pairs(candidates: Column) -> Column:
@@ -84,14 +94,11 @@ def greedy_pairs(candidates: Column) -> Column:
 
 def segments(text: Column, spans: Column) -> Column:
     """The text as fixed parts (the spans) and free parts (between them), in order."""
-    kind = "array<struct<tipo:string,trecho:string>>"
     part = lambda tipo, t: F.struct(F.lit(tipo).alias("tipo"), t.alias("trecho"))
-    folded = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("cursor"), F.array().cast(kind).alias("parts")),
-        lambda s, x: F.struct(
-            x["fim"].alias("cursor"),
-            F.concat(s["parts"], F.array(part("livre", F.substring(text, s["cursor"] + 1, x["inicio"] - s["cursor"])), part("fixo", F.substring(text, x["inicio"] + 1, x["fim"] - x["inicio"])))).alias("parts"),
-        ),
-    )
-    return F.concat(folded["parts"], F.array(part("livre", F.substring(text, folded["cursor"] + 1, F.length(text)))))
+
+    def parts(chunks: Column) -> Column:
+        two = F.transform(spans, lambda x, i: F.array(part("livre", slice_of(chunks, before(spans, i), x["inicio"] - before(spans, i))), part("fixo", slice_of(chunks, x["inicio"], x["fim"] - x["inicio"]))))
+        rest = before(spans, F.size(spans))
+        return F.concat(F.flatten(two), F.array(part("livre", slice_of(chunks, rest, F.length(text) - rest))))
+
+    return let(chunked(text), parts)

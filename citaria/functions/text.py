@@ -56,6 +56,9 @@ CORPUS_CODES = (
     ("cpc", [("onus da prova", "ao autor")]),
     ("cc", [("ato ilicito",)]),
 )
+#: Code points of a part of a chunked text.
+CHUNK_BITS = 12
+CHUNK = 1 << CHUNK_BITS
 DIPLOMA_PREFIX, HEADER_PREFIX, TST_PREFIX, NUMBER_PREFIX = 500, 240, 8000, 500
 
 
@@ -64,6 +67,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def chunked(text: Column) -> Column:
+    """The text in parts of CHUNK code points, for `slice_of`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def slice_of(chunks: Column, start: Column, length: Column) -> Column:
+    """length code points of a chunked text from start (from 0). A substring of the whole text would be counted from its
+    beginning each time, which makes many slices of a long text quadratic."""
+    first = F.shiftright(start.cast("int"), CHUNK_BITS)
+    within = start - first * CHUNK
+    size = F.greatest(length, F.lit(0))
+    part = F.array_join(F.slice(chunks, first + 1, F.shiftright((within + size).cast("int"), CHUNK_BITS) + 1), "")
+    return F.substring(part, within + 1, size)
+
+
 def strip_accents(c: Column) -> Column:
     """Native accent stripping for Latin letters and decomposed text; see exact_accents for full NFKD."""
     return F.translate(F.regexp_replace(c, "[̀-ͯ]", ""), ACCENTED, PLAIN)

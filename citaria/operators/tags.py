@@ -54,7 +54,7 @@ def tag_spans(text: Column, marked: Column) -> Column:
         return let(hit, lambda h: F.when(h.isNotNull(), F.struct(h["fim"].alias("cursor"), F.concat(s["out"], F.array(h)).alias("out"))).otherwise(s))
 
     start = F.struct(F.lit(0).alias("cursor"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return keep_first(F.array_sort(F.aggregate(needles, start, step, lambda s: s["out"])), SPAN)
+    return keep_first(F.array_sort(F.aggregate(needles, start, step, lambda s: s["out"])), SPAN, by_position=True)
 
 
 def citations_of_windows(rows: DataFrame, keys: list[str], overlap: int) -> DataFrame:

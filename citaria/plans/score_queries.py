@@ -39,8 +39,8 @@ def brier_bonus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spurious(spark: SparkSession, sf: str) -> DataFrame:
-    e = _events(spark, sf).where("caso in ('extra', 'espuria')")
-    return e.groupBy("run", "nivel", "caso").agg(F.count(F.lit(1)).alias("n"))
+    """How the golden and predicted spans of a run came out: paired, missed, spurious, or inside a match."""
+    return _events(spark, sf).groupBy("run", "nivel", "caso").agg(F.count(F.lit(1)).alias("n"))
 
 
 def score_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,7 +185,7 @@ ORACLE = {
     "confusion_counts": V.SCORED_SQL + "SELECT run, nivel, classe, tp, fp, fn, suporte FROM conf",
     "severe_error_tau": V.SCORED_SQL + "SELECT run, nivel, graves, inventadas, round(CASE WHEN inventadas > 0 THEN graves::DOUBLE / inventadas ELSE 0 END, 6) AS tau FROM taus",
     "brier_bonus": V.SCORED_SQL + "SELECT run, nivel, n_conf, round(brier, 6) AS brier, round(coalesce(greatest(0::DOUBLE, least(0.1::DOUBLE, 0.1::DOUBLE * (1 - brier))), 0), 6) AS b FROM briers",
-    "spurious_fp": V.SCORED_SQL + "SELECT run, nivel, caso, count(*) AS n FROM ev WHERE caso IN ('extra', 'espuria') GROUP BY ALL",
+    "spurious_fp": V.SCORED_SQL + "SELECT run, nivel, caso, count(*) AS n FROM ev GROUP BY ALL",
     "results_by_model": V.SCORED_SQL + f"SELECT s.*, name, role, family, parameters FROM ({_FINAL}) s LEFT JOIN execucoes USING (run)",
     "codec_encode": f"WITH {_FIRST} SELECT run, documento_id, parte, string_agg(inicio || ',' || fim || ',' || lower(trim(classificacao)) || ',' || {_ID} || ',' || coalesce(printf('%.4f', confianca), '-'), '|' ORDER BY inicio, fim, citacao_id) AS celula FROM first_ GROUP BY ALL",
     "codec_errors": _ERRORS,

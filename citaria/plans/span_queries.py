@@ -63,20 +63,20 @@ def tag_parse(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("exemplo_id", "posicao", "s.inicio", "s.fim")
 
 
-def _suppressed(spark: SparkSession, sf: str, edge) -> DataFrame:
-    """Predicted spans with their retries and variations, a list a text, greedily suppressed."""
-    p = V.predictions(spark, sf).withColumn("borda", edge)
-    kind = "struct<borda:boolean,inicio:int,fim:int>"
-    rows = p.groupBy(*V.RUN_KEYS).agg(spans.keep_first(F.array_sort(F.collect_list(F.struct("borda", "inicio", "fim"))), kind).alias("l"))
-    return rows.select(*V.RUN_KEYS, F.explode("l").alias("s")).select(*V.RUN_KEYS, "s.borda", "s.inicio", "s.fim")
-
-
 def nms_window(spark: SparkSession, sf: str) -> DataFrame:
-    return _suppressed(spark, sf, F.lit(False)).drop("borda")
+    """Predicted spans of a text of a run, greedily suppressed by position."""
+    l = spans.keep_first(F.transform("pred", lambda x: F.struct(x["inicio"].alias("inicio"), x["fim"].alias("fim"))), SPAN, by_position=True)  # noqa: E741
+    return V.prediction_texts(spark, sf).select(*V.RUN_KEYS, F.explode(l).alias("s")).select(*V.RUN_KEYS, "s.inicio", "s.fim")
 
 
 def nms_document(spark: SparkSession, sf: str) -> DataFrame:
-    return _suppressed(spark, sf, F.col("citacao_id") % 4 == 0)
+    """Predicted spans as the windows of their document show them, once for each window; spans inside a window win over those at its edge."""
+    w = _windows(spark, sf, SMALL_BUDGET, SMALL_OVERLAP, V.TEXT_KEYS).select(*V.TEXT_KEYS, F.col("inicio").alias("w0"), F.col("fim").alias("w1"), "n_texto")
+    p = V.predictions(spark, sf).select(*V.RUN_KEYS, "inicio", "fim")
+    flag = windows.at_edge(F.col("inicio"), F.col("fim"), F.col("w0"), F.col("w1"), F.col("n_texto"), SMALL_OVERLAP)
+    seen = p.join(w, V.TEXT_KEYS).where("inicio >= w0 and fim <= w1").select(*V.RUN_KEYS, F.struct(flag.alias("borda"), "inicio", "fim").alias("s"))
+    rows = seen.groupBy(*V.RUN_KEYS).agg(spans.keep_first(F.array_sort(F.collect_list("s")), "struct<borda:boolean,inicio:int,fim:int>").alias("l"))
+    return rows.select(*V.RUN_KEYS, F.explode("l").alias("s")).select(*V.RUN_KEYS, "s.borda", "s.inicio", "s.fim")
 
 
 def valid_spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,8 +232,8 @@ def _windows_sql(budget: int, overlap: int, keys: str) -> str:
     return f"win AS (SELECT {keys}, text, n, k, a, {cut} AS fim FROM {first} UNION ALL SELECT {keys}, text, n, k, a, {cut} FROM {more})"
 
 
-def _pred_lists(edge: str, order: str = "") -> str:
-    return f"""WITH {V.PRED_SQL}, l AS (SELECT run, documento_id, parte, list([{{'borda': {edge}, 'inicio': inicio, 'fim': fim}}] ORDER BY {order}inicio, fim) AS l FROM pred GROUP BY run, documento_id, parte),
+def _pred_lists(rows: str, with_: str = "WITH") -> str:
+    return f"""{with_} {V.PRED_SQL}, l AS ({rows}),
 kept AS (SELECT run, documento_id, parte, list_reduce(l, lambda a, b: CASE WHEN len(list_filter(a, lambda z: least(z.fim, b[1].fim) > greatest(z.inicio, b[1].inicio)
   AND 3 * (least(z.fim, b[1].fim) - greatest(z.inicio, b[1].inicio)) >= (z.fim - z.inicio) + (b[1].fim - b[1].inicio))) > 0 THEN a ELSE list_concat(a, b) END) AS l FROM l),
 s AS (SELECT run, documento_id, parte, unnest(l) AS s FROM kept) """
@@ -299,8 +299,10 @@ ORACLE = {
     "label_mask": r"""WITH msg AS (SELECT exemplo_id, list_filter(messages, lambda m: m.role = 'user' AND m.content IS NOT NULL)[1].content AS u, list_filter(messages, lambda m: m.role = 'assistant' AND m.content IS NOT NULL)[1].content AS raw FROM prata),
       w AS (SELECT exemplo_id, len(regexp_extract_all(CASE WHEN strpos(u, chr(10)) > 0 THEN substring(u, strpos(u, chr(10)) + 1) ELSE '' END, '\S+\s*|\s+')) AS p, len(regexp_extract_all(raw, '\S+\s*|\s+')) AS r FROM msg WHERE u IS NOT NULL AND raw IS NOT NULL)
       SELECT exemplo_id, least(2048, p + r)::INT AS n, least(2048, r)::INT AS n_aprender FROM w WHERE r > 0""",
-    "nms_window": _pred_lists("false") + "SELECT run, documento_id, parte, s.inicio AS inicio, s.fim AS fim FROM s",
-    "nms_document": _pred_lists("citacao_id % 4 = 0", "citacao_id % 4 = 0, ") + "SELECT run, documento_id, parte, s.borda AS borda, s.inicio AS inicio, s.fim AS fim FROM s",
+    "nms_window": _pred_lists("SELECT run, documento_id, parte, list([{'inicio': inicio, 'fim': fim}] ORDER BY inicio, fim) AS l FROM pred GROUP BY run, documento_id, parte") + "SELECT run, documento_id, parte, s.inicio AS inicio, s.fim AS fim FROM s",
+    "nms_document": _pred_lists(f"""SELECT run, documento_id, parte, list([{{'borda': borda, 'inicio': inicio, 'fim': fim}}] ORDER BY borda, inicio, fim) AS l FROM (
+      SELECT p.run, p.documento_id, p.parte, p.inicio, p.fim, (a > 0 AND p.inicio < a + {SMALL_OVERLAP}) OR (w.fim < n AND p.fim > w.fim - {SMALL_OVERLAP}) AS borda FROM pred p JOIN win w ON w.documento_id = p.documento_id AND w.parte = p.parte AND p.inicio >= a AND p.fim <= w.fim) GROUP BY run, documento_id, parte""",
+      f"WITH RECURSIVE {_windows_sql(SMALL_BUDGET, SMALL_OVERLAP, 'documento_id, parte')},") + "SELECT run, documento_id, parte, s.borda AS borda, s.inicio AS inicio, s.fim AS fim FROM s",
     "valid_spans": f"""WITH {V.PRED_SQL}, l AS (SELECT run, documento_id, parte, list([{{'inicio': p.inicio, 'fim': p.fim}}] ORDER BY p.inicio, p.fim) AS l FROM pred p JOIN documents d USING (documento_id, parte) WHERE p.fim <= length(text) GROUP BY run, documento_id, parte),
       kept AS (SELECT run, documento_id, parte, list_reduce(l, lambda a, b: CASE WHEN b[1].inicio < a[-1].fim THEN a ELSE list_concat(a, b) END) AS l FROM l),
       s AS (SELECT run, documento_id, parte, unnest(l) AS s FROM kept) SELECT run, documento_id, parte, s.inicio AS inicio, s.fim AS fim FROM s""",
