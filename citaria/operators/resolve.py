@@ -1,29 +1,37 @@
 """Resolution of citations against a corpus of súmulas, statute articles and rulings.
 
 A citation is `real` if it names exactly one entry, `inventada` if it is well formed and
-names none, `incompleta` if it names no number or more than one entry. The corpus is
-turned into lookup tables with one row a key, so that a lookup is an equality join of at
-most one row; lookups are broadcast if their size is checked to be under MAX_LOOKUP,
-else shuffled. Nulls: a null text is `incompleta`.
+names none, `incompleta` if it names no number or more than one entry. Nulls: a null text
+is `incompleta`.
+
+The text of a citation is parsed once. Súmulas and statutes are looked up in tables with
+one row a key, by left joins that keep the citations in place. Of rulings a number may
+have several; they are brought together by the citation's key with partial aggregates
+(one shuffle of keys, ids and lengths). Only where several rulings stay is more read: their
+headers, and the document around the citation. A lookup is broadcast if Spark's estimate
+from the files' sizes is under MAX_LOOKUP_BYTES, else shuffled; no job runs for that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citaria.functions import text as T
 
-#: Rows of a lookup table that may be broadcast.
-MAX_LOOKUP = 200_000
+#: Estimated bytes of a lookup table that may be broadcast.
+MAX_LOOKUP_BYTES = 16 << 20
 #: Titles that don't identify a reporter; share of the longest text that makes candidates the same case.
 TITLES = ["min", "ministro", "ministra", "des", "desembargador", "relator"]
 SAME_LENGTH = 0.98
 
 
-def small(df: DataFrame, bound: int = MAX_LOOKUP) -> DataFrame:
-    """Broadcast hint where the size is within the bound."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def small(df: DataFrame, bound: int = MAX_LOOKUP_BYTES) -> DataFrame:
+    """Broadcast hint where the estimated size is within the bound."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= bound else df
 
 
 def sumulas(corpus: DataFrame) -> DataFrame:
@@ -43,7 +51,7 @@ def rulings(corpus: DataFrame) -> DataFrame:
     """(numero, id, relator, texto_len, cabecalho): one row a case number of a ruling's header."""
     rows = corpus.where("natureza = 'acordao'")
     head = F.lower(T.strip_accents(F.substring("texto", 1, T.HEADER_PREFIX)))
-    made = rows.select("id", F.coalesce("relator", F.lit("")).alias("relator"), F.coalesce("texto_len", F.length("texto")).alias("texto_len"), head.alias("cabecalho"), F.explode(T.header_numbers(F.coalesce("tribunal", F.lit("")), F.col("texto"))).alias("numero"))
+    made = rows.select("id", F.coalesce("relator", F.lit("")).alias("relator"), F.coalesce(F.nullif(F.col("texto_len"), F.lit(0)), F.length("texto")).alias("texto_len"), head.alias("cabecalho"), F.explode(T.header_numbers(F.coalesce("tribunal", F.lit("")), F.col("texto"))).alias("numero"))
     return made.select("numero", "id", "relator", "texto_len", "cabecalho")
 
 
@@ -64,21 +72,41 @@ def _counted(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
 
 
+def with_sumulas(parsed: DataFrame, entries: DataFrame) -> DataFrame:
+    """_n, _id (any court), _n1, _id1 (own court): entries of the citation's (_sumula, _vinculante[, _tribunal])."""
+    any_court = _counted(entries, "numero", "vinculante").toDF("_sumula", "_vinculante", "_n", "_id")
+    own_court = _counted(entries.where("tribunal is not null"), "numero", "vinculante", "tribunal").toDF("_sumula", "_vinculante", "_tribunal", "_n1", "_id1")
+    return parsed.join(small(any_court), ["_sumula", "_vinculante"], "left").join(small(own_court), ["_sumula", "_vinculante", "_tribunal"], "left")
+
+
+def with_statutes(parsed: DataFrame, entries: DataFrame) -> DataFrame:
+    """_n2, _id2: entries of the citation's (_artigo, _diploma)."""
+    return parsed.join(small(_counted(entries.where("diploma is not null"), "numero", "diploma").toDF("_artigo", "_diploma", "_n2", "_id2")), ["_artigo", "_diploma"], "left")
+
+
+def sumula_verdict() -> Column:
+    return F.when(F.col("_sumula").isNull(), verdict("incompleta")).when(F.col("_tribunal").isNotNull(), by_count(F.col("_n1"), F.col("_id1"))).otherwise(by_count(F.col("_n"), F.col("_id")))
+
+
+def statute_verdict() -> Column:
+    return F.when(F.col("_artigo").isNull() | F.col("_diploma").isNull(), verdict("incompleta")).otherwise(by_count(F.col("_n2"), F.col("_id2")))
+
+
+def _sumula_parts(c: Column) -> list[Column]:
+    return [T.cited_sumula(c).alias("_sumula"), T.is_binding(c).alias("_vinculante"), T.cited_court(c).alias("_tribunal")]
+
+
+def _statute_parts(c: Column) -> list[Column]:
+    return [T.cited_article(c).alias("_artigo"), T.cited_code(c).alias("_diploma")]
+
+
 def resolve_sumula(citations: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., classificacao, id_canonico). A court that is named must match; without one any court does."""
-    c = citations.select(*keys, T.cited_sumula(F.col("trecho")).alias("numero"), T.is_binding(F.col("trecho")).alias("vinculante"), T.cited_court(F.col("trecho")).alias("tribunal"))
-    any_court = _counted(entries, "numero", "vinculante").withColumnsRenamed({"n": "_n", "id": "_id"})
-    own_court = _counted(entries.where("tribunal is not null"), "numero", "vinculante", "tribunal").withColumnsRenamed({"n": "_n1", "id": "_id1"})
-    hit = c.join(small(any_court), ["numero", "vinculante"], "left").join(small(own_court), ["numero", "vinculante", "tribunal"], "left")
-    v = F.when(F.col("numero").isNull(), verdict("incompleta")).when(F.col("tribunal").isNotNull(), by_count(F.col("_n1"), F.col("_id1"))).otherwise(by_count(F.col("_n"), F.col("_id")))
-    return _finish(hit, keys, v)
+    return _finish(with_sumulas(citations.select(*keys, *_sumula_parts(F.col("trecho"))), entries), keys, sumula_verdict())
 
 
 def resolve_statute(citations: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
-    c = citations.select(*keys, T.cited_article(F.col("trecho")).alias("numero"), T.cited_code(F.col("trecho")).alias("diploma"))
-    hit = c.join(small(_counted(entries.where("diploma is not null"), "numero", "diploma")), ["numero", "diploma"], "left")
-    v = F.when(F.col("numero").isNull() | F.col("diploma").isNull(), verdict("incompleta")).otherwise(by_count(F.col("n"), F.col("id")))
-    return _finish(hit, keys, v)
+    return _finish(with_statutes(citations.select(*keys, *_statute_parts(F.col("trecho"))), entries), keys, statute_verdict())
 
 
 def reporter_named(reporter: Column, context: Column) -> Column:
@@ -87,55 +115,68 @@ def reporter_named(reporter: Column, context: Column) -> Column:
     return F.exists(parts, lambda p: context.contains(p))
 
 
-def ruling_candidates(citations: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., id, texto_len, pontos, relator_citado): the candidates of each citation, once each.
+def ruling_hits(numbered: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., id, texto_len): rulings of the numbers (_numeros) of each citation; a null row for a number without any."""
+    numbers = numbered.select(*keys, F.explode("_numeros").alias("numero"))
+    return numbers.join(small(index.select("numero", "id", "texto_len")), "numero", "left").drop("numero")
 
-    citations: keys, trecho, contexto. pontos: words that a candidate's header shares with the context.
-    """
-    ctx = F.lower(T.strip_accents(F.coalesce("contexto", F.lit(""))))
-    numbers = citations.select(*keys, ctx.alias("_ctx"), F.explode(T.cited_numbers(F.col("trecho"))).alias("numero"))
-    hits = numbers.join(small(index), "numero").dropDuplicates([*keys, "id"])
-    points = F.size(F.array_intersect(T.long_words(F.col("_ctx")), T.long_words(F.col("cabecalho"))))
-    return hits.select(*keys, "id", "texto_len", points.alias("pontos"), reporter_named(F.col("relator"), F.col("_ctx")).alias("relator_citado"))
 
+def ruling_lengths(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a citation: um (the smallest id), varios, menor, maior, mais_longo. All are partial aggregates that repeats don't change."""
+    order = F.struct("texto_len", F.col("id").try_cast("bigint"), "id")
+    return hits.groupBy(*keys).agg(F.min("id").alias("um"), (F.max("id") > F.min("id")).alias("varios"), F.min("texto_len").alias("menor"), F.max("texto_len").alias("maior"), F.max_by("id", order).alias("mais_longo"))
 
-def ruling_features(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a citation with all that the tie-break needs."""
-    best = candidates.withColumn("_top", F.max("pontos").over(Window.partitionBy(*keys)))
-    order = F.struct("texto_len", F.try_cast(F.col("id"), "bigint"), "id") if hasattr(F, "try_cast") else F.struct("texto_len", F.col("id").try_cast("bigint"), "id")
+
+def ruling_ties(hits: DataFrame, open_: DataFrame, citations: DataFrame, index: DataFrame, keys: list[str], contexts: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """(keys..., pontos, n_pontos, por_cabecalho, n_relator, por_relator) of the citations in open_ (keys).
+
+    pontos: words that a candidate's header shares with the context. contexts gives citations their
+    column contexto; None: they have it.
+    """
+    rows = citations.join(open_.select(*keys), keys, "left_semi")
+    rows = (rows if contexts is None else contexts(rows)).select(*keys, F.lower(T.strip_accents(F.coalesce("contexto", F.lit("")))).alias("_ctx"))
+    heads = index.select("id", "relator", "cabecalho").dropDuplicates(["id"])
+    pairs = hits.where("id is not null").join(open_.select(*keys), keys, "left_semi").select(*keys, "id").distinct()
+    pairs = pairs.join(small(heads), "id").join(rows, keys)
+    points = F.size(F.array_intersect(T.long_words(F.col("_ctx")), T.long_words(F.col("cabecalho"))))
+    scored = pairs.select(*keys, "id", points.alias("pontos"), reporter_named(F.col("relator"), F.col("_ctx")).alias("citado"))
+    best = scored.withColumn("_top", F.max("pontos").over(Window.partitionBy(*keys)))
     return best.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("id").alias("um"),
-        F.min("texto_len").alias("menor"),
-        F.max("texto_len").alias("maior"),
-        F.max_by("id", order).alias("mais_longo"),
         F.max("pontos").alias("pontos"),
         F.count_if(F.col("pontos") == F.col("_top")).alias("n_pontos"),
         F.max_by("id", "pontos").alias("por_cabecalho"),
-        F.count_if("relator_citado").alias("n_relator"),
-        F.max(F.when(F.col("relator_citado"), F.col("id"))).alias("por_relator"),
+        F.count_if("citado").alias("n_relator"),
+        F.max(F.when(F.col("citado"), F.col("id"))).alias("por_relator"),
     )
 
 
-def same_case(f: str = "") -> Column:
+def same_case() -> Column:
     return (F.col("maior") > 0) & (F.col("menor") >= F.col("maior") * F.lit(SAME_LENGTH))
 
 
-def resolve_ruling(citations: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
-    """One candidate is it; of several of one length, the longest; else the only best header; else the only reporter named."""
-    f = ruling_features(ruling_candidates(citations, index, keys), keys)
-    numbered = citations.select(*keys, (F.size(T.cited_numbers(F.coalesce("trecho", F.lit("")))) > 0).alias("_numbered"))
-    hit = numbered.join(f, keys, "left")
+def resolve_numbered(numbered: DataFrame, citations: DataFrame, index: DataFrame, keys: list[str], contexts: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """(keys..., _v) of ruling citations with numbers (keys, _numeros)."""
+    hits = ruling_hits(numbered, index, keys)
+    found = ruling_lengths(hits, keys)
+    open_ = found.where(F.col("varios") & ~F.coalesce(same_case(), F.lit(False)))
+    all_ = found.join(ruling_ties(hits, open_, citations, index, keys, contexts), keys, "left")
     v = (
-        F.when(~F.col("_numbered"), verdict("incompleta"))
-        .when(F.col("n").isNull(), verdict("inventada"))
-        .when(F.col("n") == 1, verdict("real", F.col("um")))
+        F.when(F.col("um").isNull(), verdict("inventada"))
+        .when(~F.col("varios"), verdict("real", F.col("um")))
         .when(same_case(), verdict("real", F.col("mais_longo")))
         .when((F.col("pontos") > 0) & (F.col("n_pontos") == 1), verdict("real", F.col("por_cabecalho")))
         .when(F.col("n_relator") == 1, verdict("real", F.col("por_relator")))
         .otherwise(verdict("incompleta"))
     )
-    return _finish(hit, keys, v)
+    return all_.select(*keys, v.alias("_v"))
+
+
+def resolve_ruling(citations: DataFrame, index: DataFrame, keys: list[str], contexts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One candidate is it; of several of one length, the longest; else the only best header; else the only reporter named."""
+    parsed = citations.select(*keys, T.cited_numbers(F.coalesce("trecho", F.lit(""))).alias("_numeros"))
+    none = parsed.where(F.size("_numeros") == 0).select(*keys, verdict("incompleta").alias("_v"))
+    some = resolve_numbered(parsed.where(F.size("_numeros") > 0), citations, index, keys, contexts)
+    return _finish(none.unionByName(some), keys, F.col("_v"))
 
 
 def route(c: Column) -> Column:
@@ -144,30 +185,36 @@ def route(c: Column) -> Column:
     return F.when(T.citation_type(c) == "lei", "lei").when(T.sumula_seen(c), "sumula").otherwise("acordao")
 
 
-def resolve(citations: DataFrame, corpus: DataFrame | None, keys: list[str]) -> DataFrame:
+def resolve(citations: DataFrame, corpus: DataFrame | None, keys: list[str], contexts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(keys..., tipo, classificacao, id_canonico) of citations (keys, trecho, contexto[, classificacao]).
 
+    contexts: gives the few citations that need it their column contexto; None if all have it.
     Without a corpus nothing can be real: `real` becomes `incompleta`, and ids are cleared.
     """
-    tipo = T.citation_type(F.coalesce("trecho", F.lit(""))).alias("tipo")
+    text = F.coalesce("trecho", F.lit(""))
     if corpus is None:
         kept = F.when(F.col("classificacao") == "real", "incompleta").otherwise(F.col("classificacao"))
-        return citations.select(*keys, tipo, kept.alias("classificacao"), F.lit(None).cast("string").alias("id_canonico"))
-    routed = citations.withColumn("_route", route(F.col("trecho")))
-    done = (
-        resolve_statute(routed.where("_route = 'lei'"), statutes(corpus), keys)
-        .unionByName(resolve_sumula(routed.where("_route = 'sumula'"), sumulas(corpus), keys))
-        .unionByName(resolve_ruling(routed.where("_route = 'acordao'"), rulings(corpus), keys))
-    )
-    return done.join(citations.select(*keys, tipo), keys).select(*keys, "tipo", "classificacao", "id_canonico")
+        return citations.select(*keys, T.citation_type(text).alias("tipo"), kept.alias("classificacao"), F.lit(None).cast("string").alias("id_canonico"))
+    routed = citations.select(*keys, text.alias("_t"), route(F.col("trecho")).alias("_route"))
+    own = lambda kind, c: F.when(F.col("_route") == kind, c)
+    parts = [(F.when(F.col("_route") == kind, F.struct(*made(F.col("_t"))))).alias(f"_{kind}") for kind, made in (("sumula", _sumula_parts), ("lei", _statute_parts))]
+    parsed = routed.select(*keys, "_route", *parts, own("acordao", T.cited_numbers(F.col("_t"))).alias("_numeros"))
+    tipo = F.when(F.col("_route") == "lei", "lei").otherwise("jurisprudencia").alias("tipo")
+    in_place = parsed.where(F.coalesce(F.size("_numeros"), F.lit(0)) <= 0).select(*keys, "_route", tipo, "_sumula.*", "_lei.*")
+    looked = with_statutes(with_sumulas(in_place, sumulas(corpus)), statutes(corpus))
+    v = F.when(F.col("_route") == "lei", statute_verdict()).when(F.col("_route") == "sumula", sumula_verdict()).otherwise(verdict("incompleta"))
+    rulings_ = resolve_numbered(parsed.where(F.size("_numeros") > 0), citations, rulings(corpus), keys, contexts)
+    done = looked.select(*keys, "tipo", v.alias("_v")).unionByName(rulings_.select(*keys, F.lit("jurisprudencia").alias("tipo"), "_v"))
+    return done.select(*keys, "tipo", "_v.classificacao", "_v.id_canonico")
 
 
 STRATEGIES = {"regex": resolve}
 
 
-def strategy(name: str):
-    """The resolver of a name; names are trimmed and case doesn't matter."""
+def strategy(name: str, corpus: DataFrame | None = None) -> Callable[..., DataFrame]:
+    """The resolver of a name, for a corpus (null: nothing can be real); names are trimmed and case doesn't matter."""
     try:
-        return STRATEGIES[name.strip().lower()]
+        chosen = STRATEGIES[name.strip().lower()]
     except KeyError:
         raise ValueError(f"unknown strategy: {name}") from None
+    return chosen if corpus is None else lambda citations, keys, contexts=None: chosen(citations, corpus, keys, contexts)

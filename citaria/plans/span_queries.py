@@ -10,7 +10,7 @@ from citaria.functions import text as T
 from citaria.operators import augment, extract, resolve, tags, train_data, windows
 from citaria.plans import views as V
 from citaria.plans.text_queries import WS, ws  # noqa: F401
-from citaria.session import scanned, table
+from citaria.session import scanned, shared_checkpoints, table
 
 SMALL_BUDGET, SMALL_OVERLAP = 300, 40
 SPAN = "struct<inicio:int,fim:int>"
@@ -115,13 +115,12 @@ def silver_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def end_to_end(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents, windows, a rule model's marks, spans, resolution: one row a citation."""
+    """Documents, windows, a rule model's marks, spans (kept as a table, as the extraction of a run is), resolution: one row a citation."""
     docs = _docs(spark, sf).where("text is not null")
-    found = extract.extract(docs, ["doc_id"], "text", extract.rule_marked)
-    rows = found.select("doc_id", F.inline("citacoes")).join(docs.select("doc_id", "text"), "doc_id")
-    cited = rows.select("doc_id", "inicio", "fim", "trecho", T.context(F.col("text"), F.col("inicio"), F.col("fim")).alias("contexto"))
-    done = resolve.resolve(cited, V.corpus(spark, sf), ["doc_id", "inicio", "fim"])
-    return done.join(cited.select("doc_id", "inicio", "fim", "trecho"), ["doc_id", "inicio", "fim"])
+    shared_checkpoints(spark)
+    keys = ["doc_id", "inicio", "fim", "trecho"]
+    cited = extract.extract(docs, ["doc_id"], "text", extract.rule_marked).select("doc_id", F.inline("citacoes")).select(*keys).checkpoint()
+    return resolve.resolve(cited, V.corpus(spark, sf), keys, V.contexts(docs, ["doc_id"]))
 
 
 def prompt_messages(spark: SparkSession, sf: str) -> DataFrame:

@@ -129,35 +129,43 @@ def resolve_lei(spark: SparkSession, sf: str) -> DataFrame:
     return R.resolve_statute(c, R.statutes(V.corpus(spark, sf)), ["citacao_id"])
 
 
+def _contexts(spark: SparkSession, sf: str):
+    return V.contexts(table(spark, sf, "documents"), V.TEXT_KEYS)
+
+
 def _rulings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return V.citations(spark, sf).where(R.route(F.col("trecho")) == "acordao"), R.rulings(V.corpus(spark, sf))
 
 
 def resolve_acordao(spark: SparkSession, sf: str) -> DataFrame:
-    return R.resolve_ruling(*_rulings(spark, sf), ["citacao_id"])
+    return R.resolve_ruling(*_rulings(spark, sf), ["citacao_id"], _contexts(spark, sf))
+
+
+def _lengths(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    cited, index = _rulings(spark, sf)
+    hits = R.ruling_hits(cited.select("citacao_id", T.cited_numbers(F.coalesce("trecho", F.lit(""))).alias("_numeros")), index, ["citacao_id"])
+    return hits, R.ruling_lengths(hits, ["citacao_id"]).where("varios")
 
 
 def _ties(spark: SparkSession, sf: str) -> DataFrame:
-    return R.ruling_features(R.ruling_candidates(*_rulings(spark, sf), ["citacao_id"]), ["citacao_id"])
+    hits, several = _lengths(spark, sf)
+    return R.ruling_ties(hits, several, *_rulings(spark, sf), ["citacao_id"], _contexts(spark, sf))
 
 
 def tiebreak_length(spark: SparkSession, sf: str) -> DataFrame:
-    f = _ties(spark, sf).where("n > 1")
-    return f.select("citacao_id", "menor", "maior", F.when(R.same_case(), F.col("mais_longo")).alias("id_canonico"))
+    return _lengths(spark, sf)[1].select("citacao_id", "menor", "maior", F.when(R.same_case(), F.col("mais_longo")).alias("id_canonico"))
 
 
 def tiebreak_header(spark: SparkSession, sf: str) -> DataFrame:
-    f = _ties(spark, sf).where("n > 1")
-    return f.select("citacao_id", "pontos", F.when((F.col("pontos") > 0) & (F.col("n_pontos") == 1), F.col("por_cabecalho")).alias("id_canonico"))
+    return _ties(spark, sf).select("citacao_id", "pontos", F.when((F.col("pontos") > 0) & (F.col("n_pontos") == 1), F.col("por_cabecalho")).alias("id_canonico"))
 
 
 def tiebreak_reporter(spark: SparkSession, sf: str) -> DataFrame:
-    f = _ties(spark, sf).where("n > 1")
-    return f.select("citacao_id", "n_relator", F.when(F.col("n_relator") == 1, F.col("por_relator")).alias("id_canonico"))
+    return _ties(spark, sf).select("citacao_id", "n_relator", F.when(F.col("n_relator") == 1, F.col("por_relator")).alias("id_canonico"))
 
 
 def resolve_router(spark: SparkSession, sf: str) -> DataFrame:
-    return R.resolve(V.citations(spark, sf), V.corpus(spark, sf), ["citacao_id"])
+    return R.strategy("regex", V.corpus(spark, sf))(V.citations(spark, sf), ["citacao_id"], _contexts(spark, sf))
 
 
 def route_counts(spark: SparkSession, sf: str) -> DataFrame:

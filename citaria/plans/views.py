@@ -172,11 +172,19 @@ corpus AS (SELECT *, length(texto) AS texto_len FROM (SELECT * FROM corpus_base
 
 
 def citations(spark: SparkSession, sf: str) -> DataFrame:
-    """(citacao_id, trecho, contexto, classificacao) with the document's text around the span."""
-    e = table(spark, sf, "extract_citacoes").select("citacao_id", *TEXT_KEYS, "inicio", "fim", "trecho", "classificacao")
-    d = table(spark, sf, "documents").select(*TEXT_KEYS, "text")
-    ctx = T.context(F.col("text"), F.col("inicio"), F.col("fim"))
-    return e.join(d, TEXT_KEYS, "left").select("citacao_id", "trecho", F.coalesce(ctx, F.lit("")).alias("contexto"), "classificacao")
+    """(citacao_id, documento_id, parte, inicio, fim, trecho, classificacao)."""
+    return table(spark, sf, "extract_citacoes").select("citacao_id", *TEXT_KEYS, "inicio", "fim", "trecho", "classificacao")
+
+
+def contexts(docs: DataFrame, keys: list[str], text: str = "text"):
+    """Gives citations (keys, inicio, fim) the text around their span (contexto), by a join with their documents."""
+    own = docs.select(*keys, F.col(text).alias("_text"))
+
+    def joined(rows: DataFrame) -> DataFrame:
+        ctx = T.context(F.col("_text"), F.col("inicio"), F.col("fim"))
+        return rows.join(own, keys, "left").withColumn("contexto", F.coalesce(ctx, F.lit(""))).drop("_text")
+
+    return joined
 
 
 def examples(spark: SparkSession, sf: str, name: str = "prata") -> DataFrame:
