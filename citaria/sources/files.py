@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
 from citaria.operators.codec import encode_cell
 from citaria.operators.train_data import stems
@@ -26,13 +29,63 @@ NOT_CONTRACTS = ("meta.json", "resumo.json")
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+#: Options under which CSV keeps every character of a value, as Python's csv module does.
+PLAIN_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system of a path and the path in it; without a scheme it is a folder that all machines mount."""
+    if (local := re.fullmatch(r"(?:file:/*(?=/))?(/.*)", path)) is not None:
+        return pafs.LocalFileSystem(), local[1]
+    return pafs.FileSystem.from_uri(path)
+
+
+def write_each(rows: DataFrame, folder: str, name: Column, content: Column) -> int:
+    """One file a row, written by the tasks under a name of their own and then moved into place, so that a task may be repeated; gives the number of rows.
+
+    folder must be shared by all executors; name may hold subfolders.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        fs, root = file_system(folder)
+        made = set()
+        for batch in batches:
+            for name_, text in zip(*(c.to_pylist() for c in batch.columns)):
+                path = f"{root}/{name_}"
+                if (parent := path.rsplit("/", 1)[0]) not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                part = f"{parent}/.{uuid.uuid4().hex}.part"
+                with fs.open_output_stream(part) as f:
+                    f.write((text or "").encode())
+                fs.move(part, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.select(name.alias("name"), content.alias("content")).mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_texts(texts: DataFrame, folder: str) -> int:
+    """A .txt file for each row (documento_id, texto); null text makes an empty file."""
+    return write_each(texts, folder, F.concat("documento_id", F.lit(".txt")), F.col("texto"))
+
+
 def _texts(files: DataFrame) -> DataFrame:
     return files.select(stems(F.col("path")).alias("documento_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("texto"))
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(documento_id, texto): one row a .txt file of a folder; the id is the file's stem. Spark skips empty files: look texts up by a left join, null for empty."""
-    return _texts(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder))
+    """(documento_id, texto): one row a .txt file of a folder, "" for an empty one; the id is the file's stem.
+
+    Spark's scan leaves out empty files; their names come from the folder's listing.
+    """
+    full = _texts(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder))
+    fs, root = file_system(folder)
+    empty = [(f.base_name,) for f in fs.get_file_info(pafs.FileSelector(root)) if f.is_file and f.size == 0 and f.extension == "txt"]
+    if not empty:
+        return full
+    return full.unionByName(spark.createDataFrame(empty, "path string").select(stems(F.col("path")).alias("documento_id"), F.lit("").alias("texto")))
 
 
 def stream_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,12 +151,34 @@ def run_stamp(when: datetime | None = None) -> str:
 
 
 def write_contracts(df: DataFrame, folder: str, run_ts: str, slug: str) -> str:
-    """Contracts of a run as JSON, nulls kept, in `<folder>/<stamp>_<slug>`; gives the path."""
+    """Contracts of a run, a pretty JSON file a document with nulls kept, in `<folder>/<stamp>_<slug>`; gives the path."""
     path = f"{folder}/{run_ts}_{slug}"
-    df.select("documento_id", "citacoes").write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    _contract_files(df, path, F.col("documento_id"))
     return path
 
 
+def write_runs(df: DataFrame, folder: str) -> int:
+    """Contracts of several runs (run_ts, slug, documento_id, citacoes), each in its run's folder."""
+    return _contract_files(df, folder, F.concat(F.concat_ws("_", "run_ts", "slug"), F.lit("/"), F.col("documento_id")))
+
+
+def _contract_files(df: DataFrame, folder: str, name: Column) -> int:
+    text = F.to_json(F.struct("documento_id", F.col("citacoes").cast(f"array<{CITATION}>").alias("citacoes")), {"pretty": "true", "ignoreNullFields": "false"})
+    return write_each(df, folder, F.concat(name, F.lit(".json")), text)
+
+
+def write_metadata(runs: DataFrame, folder: str) -> int:
+    """meta.json of each run (run, and the columns of META that it has) in its folder."""
+    kept = [c for c in ("name", "role", "family", "parameters", "slug", "batch_size", "lora") if c in runs.columns]
+    return write_each(runs, folder, F.concat("run", F.lit("/meta.json")), F.to_json(F.struct(*kept), {"pretty": "true", "ignoreNullFields": "false"}))
+
+
+def read_metadata(spark: SparkSession, folders: list[str] | str) -> DataFrame:
+    """(run, META columns) of the meta.json files in run folders."""
+    df = spark.read.schema(META).option("multiLine", True).option("pathGlobFilter", "meta.json").json(folders)
+    return df.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run"), *df.columns)
+
+
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
@@ -115,12 +190,12 @@ def submission(contracts: DataFrame) -> DataFrame:
 
 
 def write_submission(contracts: DataFrame, path: str) -> None:
-    submission(contracts).write.mode("overwrite").option("header", True).csv(path)
+    submission(contracts).write.mode("overwrite").options(**PLAIN_CSV).csv(path)
 
 
 def write_held_out(golden: DataFrame, blocked: DataFrame, path: str) -> None:
     """The golden rows of documents that aren't blocked, as CSV."""
-    golden.join(blocked.select("documento_id").distinct(), "documento_id", "left_anti").select(*golden.columns).write.mode("overwrite").option("header", True).csv(path)
+    golden.join(blocked.select("documento_id").distinct(), "documento_id", "left_anti").select(*golden.columns).write.mode("overwrite").options(**PLAIN_CSV).csv(path)
 
 
 def evaluation_report(levels: DataFrame, by: list[str]) -> DataFrame:
@@ -138,26 +213,52 @@ def write_evaluation(levels: DataFrame, finals: DataFrame, by: str, path: str) -
 
 
 class SqliteCorpus(DataSource):
-    """Table `documentos` of an SQLite file on a shared path; options path, natureza (optional), parts.
+    """Table `documentos` of an SQLite file on a shared path; options path, columns (all if not given), natureza, parts.
 
     spark.dataSource.register(SqliteCorpus); spark.read.format("sqlite_corpus").option(...).load()
-    The kind is filtered in SQLite, row ids are read in ranges, bytes that aren't UTF-8 are replaced.
+    Filters on equality, membership and nulls run in SQLite (natureza and tribunal come with
+    them); row ids are read in ranges; bytes that aren't UTF-8 are replaced. Python sources
+    aren't told which columns a query needs: `columns` names them.
     """
 
+    ALL = {"id": "string", "natureza": "string", "tribunal": "string", "relator": "string", "texto": "string", "texto_len": "int"}
+
     @classmethod
     def name(cls) -> str:
         return "sqlite_corpus"
 
+    def columns(self) -> list[str]:
+        named = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
+        if wrong := [c for c in named if c not in self.ALL]:
+            raise ValueError(f"no such columns: {wrong}")
+        return named or list(self.ALL)
+
     def schema(self) -> str:
-        return "id string, natureza string, tribunal string, relator string, texto string, texto_len int"
+        return ", ".join(f"{c} {self.ALL[c]}" for c in self.columns())
 
     def reader(self, schema) -> DataSourceReader:
-        return SqliteReader(self.options)
+        return SqliteReader(self.options, self.columns())
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.kind, self.parts = options["path"], options.get("natureza"), int(options.get("parts", 8))
+    def __init__(self, options, columns: list[str]):
+        self.path, self.parts, self.columns = options["path"], int(options.get("parts", 8)), columns
+        self.where: list[tuple[str, tuple]] = [("natureza = ?", (options["natureza"],))] if options.get("natureza") else []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes the filters that mean the same in SQLite; gives back the others. Ids may be numbers there and aren't compared."""
+        for f in filters:
+            at = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if at not in ("natureza", "tribunal", "relator"):
+                yield f
+            elif isinstance(f, EqualTo):
+                self.where.append((f"{at} = ?", (f.value,)))
+            elif isinstance(f, In):
+                self.where.append((f"{at} IN ({', '.join('?' * len(f.value))})", tuple(f.value)))
+            elif isinstance(f, IsNotNull):
+                self.where.append((f"{at} IS NOT NULL", ()))
+            else:
+                yield f
 
     def connect(self):
         import sqlite3
@@ -173,9 +274,10 @@ class SqliteReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         a, b = partition.value
-        sql = "SELECT id, natureza, tribunal, relator, texto, texto_len FROM documentos WHERE rowid >= ? AND rowid < ?" + (" AND natureza = ?" if self.kind else "")
-        for id_, kind, court, reporter, text, n in self.connect().execute(sql, (a, b, *([self.kind] if self.kind else []))):
-            yield str(id_), kind, court, reporter, text, n
+        sql = f"SELECT {', '.join(self.columns)} FROM documentos WHERE rowid >= ? AND rowid < ?" + "".join(f" AND {c}" for c, _ in self.where)
+        numbers = [k for k, c in enumerate(self.columns) if c == "texto_len"]
+        for row in self.connect().execute(sql, (a, b, *(v for _, values in self.where for v in values))):
+            yield tuple(v if v is None or k in numbers else str(v) for k, v in enumerate(row))
 
 
 def document_key(*parts: str) -> Column:

@@ -17,7 +17,9 @@ def test_texts(spark, tmp_path):
     (tmp_path / "b.c.txt").write_text("", encoding="utf-8")
     (tmp_path / "x.md").write_text("no")
     got = {r.documento_id: r.texto for r in files.read_texts(spark, str(tmp_path)).collect()}
-    assert got["a_1"] == "ação\nlinha" and set(got) == {"a_1"}
+    assert got == {"a_1": "ação\nlinha", "b.c": ""}
+    assert files.write_texts(files.read_texts(spark, str(tmp_path)), str(tmp_path / "again")) == 2
+    assert {r.documento_id: r.texto for r in files.read_texts(spark, str(tmp_path / "again")).collect()} == got
 
 
 def test_golden_csv_with_mark(spark, tmp_path):
@@ -92,6 +94,14 @@ def test_sqlite(spark, tmp_path):
     con.execute("INSERT INTO documentos VALUES (99, 'sumula', NULL, NULL, CAST(x'53FF' AS TEXT), NULL)")
     con.commit()
     spark.dataSource.register(files.SqliteCorpus)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    all_ = spark.read.format("sqlite_corpus").option("path", path).option("columns", "id,natureza,tribunal").load()
+    assert all_.columns == ["id", "natureza", "tribunal"] and all_.count() == 21
+    assert all_.where("natureza = 'sumula' and tribunal is not null and id > '1'").count() == 9
+    assert all_.where("natureza in ('acordao', 'x') and tribunal = 'STJ'").count() == 10 and all_.where("tribunal is null").count() == 1
+    reader = files.SqliteCorpus({"path": path}).reader(None)
+    left = list(reader.pushFilters([files.EqualTo(("natureza",), "sumula"), files.EqualTo(("id",), "3"), files.IsNotNull(("tribunal",))]))
+    assert left == [files.EqualTo(("id",), "3")] and reader.where == [("natureza = ?", ("sumula",)), ("tribunal IS NOT NULL", ())]
     df = spark.read.format("sqlite_corpus").option("path", path).option("natureza", "sumula").option("parts", "3").load()
     rows = {r.id: r.texto for r in df.collect()}
     assert len(rows) == 11 and rows["99"] == "S�" and rows["1"] == "Súmula 1"
