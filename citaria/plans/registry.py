@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citaria.operators import packed
-from citaria.plans import score_queries, span_queries, text_queries
+from citaria.plans import file_queries, score_queries, span_queries, text_queries
 from citaria.session import ship_package, table
 
 
@@ -28,5 +28,5 @@ SELECT tabela, linha_id, posicao::INT AS posicao, regexp_replace(regexp_replace(
 UNION ALL SELECT 'goldenset', linha_id, unnest(range(1, len(l) + 1))::INT, unnest(l) FROM g WHERE len(l) > 1
 """
 
-QUERIES = {"p4_found": p4_found, "p4_values": p4_values, **score_queries.QUERIES, **span_queries.QUERIES, **text_queries.QUERIES}
-ORACLE = {"p4_found": P4_SQL, **score_queries.ORACLE, **span_queries.ORACLE, **text_queries.ORACLE}
+QUERIES = {"p4_found": p4_found, "p4_values": p4_values, **score_queries.QUERIES, **span_queries.QUERIES, **text_queries.QUERIES, **file_queries.QUERIES}
+ORACLE = {"p4_found": P4_SQL, **score_queries.ORACLE, **span_queries.ORACLE, **text_queries.ORACLE, **file_queries.ORACLE}

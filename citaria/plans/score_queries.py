@@ -186,6 +186,7 @@ ORACLE = {
     "severe_error_tau": V.SCORED_SQL + "SELECT run, nivel, graves, inventadas, round(CASE WHEN inventadas > 0 THEN graves::DOUBLE / inventadas ELSE 0 END, 6) AS tau FROM taus",
     "brier_bonus": V.SCORED_SQL + "SELECT run, nivel, n_conf, round(brier, 6) AS brier, round(coalesce(greatest(0::DOUBLE, least(0.1::DOUBLE, 0.1::DOUBLE * (1 - brier))), 0), 6) AS b FROM briers",
     "spurious_fp": V.SCORED_SQL + "SELECT run, nivel, caso, count(*) AS n FROM ev GROUP BY ALL",
+    "report_lines": V.SCORED_SQL + "SELECT run, nivel::INT AS nivel, printf('nivel %s: score=%.4f macro_f1=%.4f tau=%.3f bonus=%.4f f1=%s/%s/%s', nivel::VARCHAR, score, macro_f1, tau, b, coalesce(round(f1_real, 3)::VARCHAR, 'null'), coalesce(round(f1_inventada, 3)::VARCHAR, 'null'), coalesce(round(f1_incompleta, 3)::VARCHAR, 'null')) AS linha FROM final",
     "results_by_model": V.SCORED_SQL + f"SELECT s.*, name, role, family, parameters FROM ({_FINAL}) s LEFT JOIN execucoes USING (run)",
     "codec_encode": f"WITH {_FIRST} SELECT run, documento_id, parte, string_agg(inicio || ',' || fim || ',' || lower(trim(classificacao)) || ',' || {_ID} || ',' || coalesce(printf('%.4f', confianca), '-'), '|' ORDER BY inicio, fim, citacao_id) AS celula FROM first_ GROUP BY ALL",
     "codec_errors": _ERRORS,

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from citaria.functions import chat, spans
 from citaria.functions import text as T
 from citaria.operators import augment, extract, resolve, tags, train_data, windows
+from citaria.plans import text_queries
 from citaria.plans import views as V
-from citaria.plans.text_queries import WS, ws  # noqa: F401
+from citaria.plans.text_queries import WS
 from citaria.session import scanned, shared_checkpoints, table
+from citaria.sources import files
 
 SMALL_BUDGET, SMALL_OVERLAP = 300, 40
 SPAN = "struct<inicio:int,fim:int>"
@@ -114,6 +116,12 @@ def silver_examples(spark: SparkSession, sf: str) -> DataFrame:
     return train_data.silver_examples(w, V.predictions(spark, sf).select(*V.TEXT_KEYS, "inicio", "fim"), V.TEXT_KEYS, V.SYSTEM)
 
 
+def silver_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The silver examples with a column a message."""
+    content = [F.col("messages")[k]["content"].alias(name) for k, name in enumerate(("sistema", "usuario", "resposta"))]
+    return silver_examples(spark, sf).select(*V.TEXT_KEYS, "inicio", "n_spans", *content)
+
+
 def end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, windows, a rule model's marks, spans (kept as a table, as the extraction of a run is), resolution: one row a citation."""
     docs = _docs(spark, sf).where("text is not null")
@@ -141,8 +149,7 @@ def eval_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def manifest_origins(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "prata").select(F.concat(F.lit("data/train/"), F.col("documento_id"), F.lit(".txt")).alias("origem"))
-    return files.where("origem is not null").select(train_data.stems(F.col("origem")).alias("documento_id")).distinct()
+    return files.manifest_origins(table(spark, sf, "prata").select(F.concat(F.lit("data/train/"), F.col("documento_id"), F.lit(".txt")).alias("origem")))
 
 
 def gold_spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,6 +209,7 @@ QUERIES = {
     "segments_map": segments_map,
     "roundtrip_accept": roundtrip_accept,
     "silver_examples": silver_examples,
+    "silver_rows": silver_rows,
     "end_to_end": end_to_end,
     "prompt_messages": prompt_messages,
     "heldout_antijoin": heldout_antijoin,
@@ -271,6 +279,32 @@ raws AS (SELECT x.*, coalesce(m, '') || substring(t, coalesce(last, 0) + 1) AS r
 ex AS (SELECT documento_id, parte, t, {_NEEDLE} AS l FROM raws),
 {_walk("documento_id, parte")}
 SELECT documento_id, parte, n, coalesce(k.l, []) = w AS aceita FROM raws LEFT JOIN kept k USING (documento_id, parte)"""
+#: Windows of documents outside the golden set, the spans inside them, marks, and the spans that the marks give back.
+_SILVER = f"""WITH RECURSIVE {_windows_sql(windows.DEFAULT_BUDGET, windows.DEFAULT_OVERLAP, 'documento_id, parte')}, {V.PRED_SQL},
+w AS (SELECT documento_id, parte, a AS w0, fim AS w1, substring(text, a + 1, fim - a) AS t FROM win v WHERE NOT EXISTS (SELECT 1 FROM goldenset g WHERE g.documento_id = v.documento_id)),
+ins AS (SELECT DISTINCT w.documento_id, w.parte, w0, p.inicio - w0 AS a, p.fim - w0 AS b FROM w JOIN pred p ON p.documento_id = w.documento_id AND p.parte = w.parte AND p.inicio >= w0 AND p.fim <= w1),
+own AS (SELECT documento_id, parte, w0, count(*)::INT AS n, list_reduce(list([{{'inicio': a::BIGINT, 'fim': b::BIGINT}}] ORDER BY a, b), lambda x, y: CASE WHEN y[1].inicio < x[-1].fim THEN x ELSE list_concat(x, y) END) AS s FROM ins GROUP BY documento_id, parte, w0),
+flat AS (SELECT documento_id, parte, w0, unnest(s) AS s FROM own),
+cut AS (SELECT f.documento_id, f.parte, f.w0, s.inicio AS a, s.fim AS b, t, coalesce(lag(s.fim) OVER (PARTITION BY f.documento_id, f.parte, f.w0 ORDER BY s.inicio), 0) AS prev FROM flat f JOIN w ON w.documento_id = f.documento_id AND w.parte = f.parte AND w.w0 = f.w0),
+marks AS (SELECT documento_id, parte, w0, string_agg(substring(t, prev + 1, a - prev) || '<start>' || substring(t, a + 1, b - a) || '<end>', '' ORDER BY a) AS m, max(b) AS last FROM cut GROUP BY documento_id, parte, w0),
+raws AS (SELECT documento_id, parte, w0, t, coalesce(n, 0) AS n, coalesce(s, []) AS s, coalesce(m, '') || substring(t, coalesce(last, 0) + 1) AS raw FROM w LEFT JOIN own USING (documento_id, parte, w0) LEFT JOIN marks USING (documento_id, parte, w0)),
+ex AS (SELECT documento_id, parte, w0, t, {_NEEDLE} AS l FROM raws),
+{_walk("documento_id, parte, w0")}
+SELECT documento_id, parte, w0::INT AS inicio, n::INT AS n_spans, '{V.SYSTEM}' AS sistema, 'documento_id: ' || documento_id || '#' || parte || chr(10) || chr(10) || t AS usuario, raw AS resposta FROM raws LEFT JOIN kept k USING (documento_id, parte, w0) WHERE coalesce(k.l, []) = s"""
+_RULE = extract.RULE.removeprefix("(?iu)").replace("'", "''")
+#: The resolution's SQL over the citations that the rule model finds, as rows of a document with one section.
+_END_TO_END = f"""WITH RECURSIVE {_windows_sql(windows.DEFAULT_BUDGET, windows.DEFAULT_OVERLAP, 'doc_id')},
+ex AS (SELECT doc_id, w0, w1, n AS tot, t, {_NEEDLE} AS l FROM (SELECT doc_id, a AS w0, fim AS w1, n, substring(text, a + 1, fim - a) AS t, regexp_replace(substring(text, a + 1, fim - a), '({_RULE})', '<start>\\1<end>', 'gi') AS raw FROM win)),
+{_walk("doc_id, w0, w1, tot").replace("kept AS", "in_window AS")},
+moved AS (SELECT doc_id, w0, w1, tot, s.inicio + w0 AS a, s.fim + w0 AS b FROM (SELECT doc_id, w0, w1, tot, unnest(l) AS s FROM in_window)),
+seen AS (SELECT doc_id, list([{{'inicio': a, 'fim': b}}] ORDER BY (w0 > 0 AND a < w0 + {windows.DEFAULT_OVERLAP}) OR (w1 < tot AND b > w1 - {windows.DEFAULT_OVERLAP}), a, b) AS l FROM moved GROUP BY doc_id),
+in_text AS (SELECT doc_id, list_reduce(l, lambda x, y: CASE WHEN len(list_filter(x, lambda z: least(z.fim, y[1].fim) > greatest(z.inicio, y[1].inicio)
+  AND 3 * (least(z.fim, y[1].fim) - greatest(z.inicio, y[1].inicio)) >= (z.fim - z.inicio) + (y[1].fim - y[1].inicio))) > 0 THEN x ELSE list_concat(x, y) END) AS l FROM seen),
+spans AS (SELECT doc_id, unnest(l) AS s FROM in_text),
+cited_rows AS (SELECT row_number() OVER (ORDER BY doc_id, s.inicio, s.fim) AS citacao_id, doc_id AS documento_id, 0 AS parte, s.inicio AS inicio, s.fim AS fim, substring(text, s.inicio + 1, s.fim - s.inicio) AS trecho FROM spans JOIN documents USING (doc_id)),
+docs_ AS (SELECT doc_id AS documento_id, 0 AS parte, text FROM documents WHERE text IS NOT NULL),
+resolved AS ({text_queries.ORACLE["resolve_router"].replace("extract_citacoes", "cited_rows").replace("documents d USING", "docs_ d USING")})
+SELECT documento_id AS doc_id, inicio::INT AS inicio, fim::INT AS fim, trecho, tipo, classificacao, id_canonico FROM resolved JOIN cited_rows USING (citacao_id)"""
 _GT = f"WITH {V.GOLDEN_SQL}, gt AS (SELECT g.*, d.text, coalesce(lag(g.fim) OVER (PARTITION BY g.documento_id, g.parte ORDER BY gi), 0) AS prev, max(g.fim) OVER (PARTITION BY g.documento_id, g.parte) AS last FROM golden g JOIN documents d USING (documento_id, parte) WHERE text IS NOT NULL)"
 _FREE, _FIXED, _TAIL = "substring(text, prev + 1, inicio - prev)", "substring(text, inicio + 1, fim - inicio)", "substring(any_value(text), any_value(last) + 1)"
 
@@ -295,6 +329,8 @@ ORACLE = {
     "span_locate_ws": _LOOSE.replace("{needle}", "' ' || replace(trecho, ' ', chr(10) || '  ')"),
     "tag_parse": _TAGS,
     "roundtrip_accept": _ROUND_TRIP,
+    "silver_rows": _SILVER,
+    "end_to_end": _END_TO_END,
     "label_mask": r"""WITH msg AS (SELECT exemplo_id, list_filter(messages, lambda m: m.role = 'user' AND m.content IS NOT NULL)[1].content AS u, list_filter(messages, lambda m: m.role = 'assistant' AND m.content IS NOT NULL)[1].content AS raw FROM prata),
       w AS (SELECT exemplo_id, len(regexp_extract_all(CASE WHEN strpos(u, chr(10)) > 0 THEN substring(u, strpos(u, chr(10)) + 1) ELSE '' END, '\S+\s*|\s+')) AS p, len(regexp_extract_all(raw, '\S+\s*|\s+')) AS r FROM msg WHERE u IS NOT NULL AND raw IS NOT NULL)
       SELECT exemplo_id, least(2048, p + r)::INT AS n, least(2048, r)::INT AS n_aprender FROM w WHERE r > 0""",
