@@ -39,9 +39,17 @@ SENTENCES = (
 NAMES = ("HELENA DUARTE PIMENTEL", "OFICINA LITORAL LTDA.", "COOPERATIVA VALE VERDE", "MARINA COSTA ALBUQUERQUE", "METALÚRGICA SERRA DOURADA S.A.", "PAULO HENRIQUE VASCONCELOS")
 CITIES, CITIES_OUT = ("Recife", "Curitiba", "Belém", "Florianópolis", "Campo Grande"), ("Fortaleza", "São Paulo", "Brasília", "Rio de Janeiro", "Belo Horizonte", "Porto Alegre")
 MONTHS = ("janeiro", "março", "maio", "agosto", "outubro")
+# What a scanner mistakes, and the share of letters that it mistakes.
 OCR_SWAPS = {"a": "ã", "e": "c", "o": "e", "i": "l", "u": "n", "m": "rn"}
 OCR_SHARE = 0.04
+# Fixed value: the paragraph that closes a longer text.
 CLOSING = "\n\nNada mais havendo a considerar no âmbito deste exame, encaminhem-se os autos ao arquivo próprio após as anotações de praxe, com ciência às partes pelo meio ordinário. ({}.)\n"
+# Fixed value: what every request asks for.
+REQUEST = (
+    ". Tamanho entre 2200 e 3400 caracteres. Inclua de 6 a 10 citações: leis com artigo e diploma, julgados com número, menções sem número e ao menos um identificador inventado. "
+    "Invente relatores, datas e números. Prosa contínua, sem lista e sem título de seção. Variação "
+)
+# What synthetic pieces are drawn from.
 GENRES = ("memorial", "voto", "acórdão", "decisão monocrática", "parecer", "embargos de declaração")
 COURTS = ("STF", "STJ", "TST", "TSE", "STM", "TJSP", "TRF4", "TRT3")
 TOPICS = (
@@ -49,6 +57,7 @@ TOPICS = (
     "execução fiscal e prescrição", "adicional de insalubridade", "guarda compartilhada", "recuperação judicial e crédito trabalhista", "mandado de segurança contra ato de mesa",
     "aposentadoria especial", "usucapião extrajudicial", "despejo por falta de pagamento", "habeas corpus e prisão preventiva", "licitação e sobrepreço",
 )
+# What numbers, dates, parties and sentences are found by.
 PROCESS, SHEETS, AMOUNT, LONG_DATE = r"\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}", r"(?i)fls\.\s*\d+/\d+", r"R\$\s*[\d.]+,\d{2}", r"(?iu)\d{1,2} de [a-zç]+ de \d{4}"
 PARTY = r"(?m)^[\wÀ-ú/ .()-]{0,40}:\s*([A-ZÁÉÍÓÚÂÊÔÃÕÇ][A-ZÁÉÍÓÚÂÊÔÃÕÇ0-9 ./-]{8,})$"
 SENTENCE_END = r"(?<=[.!?])\s+"
@@ -89,17 +98,24 @@ def synonyms(parts: Column, seed: Column) -> Column:
     return free(parts, change)
 
 
+def squared(c: Column) -> Column:
+    return let(c, lambda x: x * x)
+
+
 def ocr_noise(parts: Column, seed: Column) -> Column:
     swaps = F.create_map(*(F.lit(x) for a, b in OCR_SWAPS.items() for x in (a, b, a.upper(), b.upper())))
-    limit = int(OCR_SHARE * 10_000)
+    limit, prime = int(OCR_SHARE * 10_000), F.lit(2**31 - 1)
 
     def noisy(own: Column) -> Column:
+        def hit(i: Column, k: Column) -> Column:  # a square modulo a prime: a draw for each character without a hash of text
+            return F.pmod(F.pmod(squared(F.pmod(own + i * 7919 + k * 104_729, prime)) + 12_345, prime), F.lit(10_000)) < limit
+
         def change(t: Column, i: Column) -> Column:
-            return F.array_join(F.transform(F.split(t, ""), lambda c, k: F.when(F.pmod(F.xxhash64(own, i, k), F.lit(10_000)) < limit, F.coalesce(F.try_element_at(swaps, c), c)).otherwise(c)), "")
+            return F.array_join(F.transform(F.split(t, ""), lambda c, k: F.when(hit(i, k), F.coalesce(F.try_element_at(swaps, c), c)).otherwise(c)), "")
 
         return free(parts, change)
 
-    return let(F.xxhash64(seed), noisy)
+    return let(draw(2**32, seed), noisy)
 
 
 def chosen(flags: Column, seed: Column, what: str) -> Column:
@@ -125,7 +141,8 @@ def drop_sentence(parts: Column, seed: Column) -> Column:
 
 
 def swap_names(parts: Column, seed: Column) -> Column:
-    found = F.filter(F.transform(F.regexp_extract_all(joined(parts), F.lit(PARTY), F.lit(1)), F.trim), lambda n: F.length(n) > 8)
+    """Lines end at \\n alone, so that a name before \\r isn't one."""
+    found = F.filter(F.transform(F.regexp_extract_all(joined(parts), F.lit("(?d)" + PARTY), F.lit(1)), F.trim), lambda n: F.length(n) > 8)
     names, start = F.array(*map(F.lit, NAMES)), draw(len(NAMES), seed, "nomes")
     pairs = F.transform(F.slice(found, 1, len(NAMES)), lambda n, k: F.struct(n.alias("n"), F.element_at(names, (F.pmod(start + k, F.lit(len(NAMES))) + 1).cast("int")).alias("new")))
     return let(pairs, lambda pairs: free(parts, lambda t, _: F.aggregate(pairs, t, lambda s, x: F.replace(s, x["n"], x["new"]))))
@@ -179,7 +196,7 @@ def reorder(text: Column, spans: Column, seed: Column) -> Column:
 
     def permuted(flagged: Column) -> Column:
         loose = F.filter(flagged, lambda x: x["free"])
-        order = F.array_sort(F.transform(loose, lambda x: F.struct(F.xxhash64(seed, x["k"]).alias("h"), x["k"].alias("k"), x["t"].alias("t"))))
+        order = F.array_sort(F.transform(loose, lambda x: F.struct(F.md5(F.concat_ws("|", seed, x["k"].cast("string"))).alias("h"), x["k"].alias("k"), x["t"].alias("t"))))
         both = F.struct(F.transform(loose, lambda x: x["k"]).alias("places"), F.transform(order, lambda x: x["t"]).alias("texts"))
         moved = lambda b: F.transform(flagged, lambda x: F.when(x["free"], F.get(b["texts"], F.array_position(b["places"], x["k"]).cast("int") - 1)).otherwise(x["t"]))
         return let(both, lambda b: F.when(F.size(b["places"]) < 2, text).otherwise(F.array_join(moved(b), "\n\n")))
@@ -226,15 +243,24 @@ def requests(n: int | None, spark, seed: int = 1, ids: DataFrame | None = None)
     i = F.col("indice")
     text = F.concat(
         F.lit("Escreva um "), pick(GENRES, i, seed, "g"), F.lit(" do "), pick(COURTS, i, seed, "t"), F.lit(" sobre "), pick(TOPICS, i, seed, "m"),
-        F.lit(". Tamanho entre 2200 e 3400 caracteres. Inclua de 6 a 10 citações. Prosa contínua. Variação "), i.cast("string"), F.lit("."),
+        F.lit(REQUEST), i.cast("string"), F.lit("."),
     )
     return base.select("indice", text.alias("pedido"))
 
 
+#: Sampling temperature before the first round, and what each round adds.
+TEMPERATURE, TEMPERATURE_STEP = 0.7, 0.1
+
+
+def temperature(round_: int) -> float:
+    """Sampling temperature of a round (from 1): it rises, so that rejected rows are tried otherwise."""
+    return round(TEMPERATURE + TEMPERATURE_STEP * round_, 6)
+
+
 def until_accepted(ids: DataFrame, attempt, rounds: int = 4) -> DataFrame:
     """Retry the rows that attempt(ids, round) doesn't return, up to a number of rounds; an error if some are left.
 
-    attempt gives (indice, ...) of the accepted ones. The state between rounds is checkpointed.
+    attempt gives (indice, ...) of the accepted ones; `temperature` is what a model is to sample with in a round. The state between rounds is checkpointed.
     """
     from citaria.session import shared_checkpoints
 

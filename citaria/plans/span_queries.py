@@ -195,6 +195,8 @@ def augment_variants(spark: SparkSession, sf: str) -> DataFrame:
     return augment.variants(_golden_lists(spark, sf), V.TEXT_KEYS)
 
 
+#: Names of the queries of single operations.
+VARIANTS = {"synonym": "sinonimos", "noise": "ocr", "insert": "insere", "drop": "remove_frase", "names": "troca_nomes", "protocol": "troca_protocolo", "reorder": "reordena", "dates": "troca_data", "closing": "expande", "combined": "combina"}
 QUERIES = {
     "chunk_windows": chunk_windows,
     "chunk_small_budget": chunk_small_budget,
@@ -220,10 +222,7 @@ QUERIES = {
     "sample_sources": sample_sources,
     "request_prompts": request_prompts,
     "label_mask": label_mask,
-    "augment_synonym": _variant("sinonimos"),
-    "augment_closing": _variant("expande"),
-    "augment_protocol": _variant("troca_protocolo"),
-    "augment_reorder": _variant("reordena"),
+    **{f"augment_{name}": _variant(op) for name, op in VARIANTS.items()},
     "augment_variants": augment_variants,
 }
 
@@ -319,6 +318,114 @@ def _pick(values: tuple[str, ...], seed: str) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + f"][('0x' || substring(md5({seed}), 1, 8))::BIGINT % {len(values)} + 1]"
 
 
+# ------------------------------------------------------------------ variants, as SQL over the parts of a text
+def _draw(n: str, *what: str) -> str:
+    return f"('0x' || substring(md5(concat_ws('|', {', '.join(what)})), 1, 8))::BIGINT % ({n})"
+
+
+def _between(low: int, high: int, *what: str) -> str:
+    return f"({low} + {_draw(str(high - low + 1), *what)})::VARCHAR"
+
+
+def _one_of(values: tuple[str, ...], *what: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][{_draw(str(len(values)), *what)} + 1]"
+
+
+def _each_match(x: str, pattern: str, make) -> str:
+    split = f"regexp_split_to_array({x}, '{pattern}')"
+    return f"array_to_string(list_transform({split}, lambda p, k: CASE WHEN k < len({split}) THEN p || {make('(k - 1)')} ELSE p END), '')"
+
+
+def _changed(source: str, value: str) -> str:
+    return f"SELECT documento_id, parte, i, tipo, seed, CASE WHEN tipo = 'livre' THEN {value} ELSE t END AS t FROM {source}"
+
+
+def _chosen_part(source: str, value: str) -> str:
+    """value where the part is the one drawn among the free ones of more than 80 characters."""
+    at = f"SELECT documento_id, parte, any_value(seed) AS seed, list(i ORDER BY i) AS l FROM {source} WHERE tipo = 'livre' AND length(t) > 80 GROUP BY documento_id, parte"
+    drawn = f"SELECT documento_id, parte, l[{_draw('len(l)', 'seed', chr(39) + 'onde' + chr(39))} + 1] AS spot FROM ({at})"
+    return f"SELECT s.documento_id, s.parte, i, tipo, seed, CASE WHEN i = spot THEN {value} ELSE t END AS t FROM {source} s LEFT JOIN ({drawn}) c ON c.documento_id = s.documento_id AND c.parte = s.parte"
+
+
+def _synonyms_of(source: str) -> str:
+    return _changed(source, _replaced("t"))
+
+
+def _inserted(source: str) -> str:
+    return _chosen_part(source, f"regexp_replace(t, '{WS}+$', '') || ' ' || {_one_of(augment.SENTENCES, 'seed', chr(39) + 'frase' + chr(39))} || chr(10)")
+
+
+def _numbers_of(source: str) -> str:
+    q = lambda c: f"'{c}'"
+    process = " || ".join((_between(1_000_000, 9_999_999, "seed", "i", q("a")), q("-"), _between(10, 99, "seed", "i", q("b")), q("."), _between(2018, 2024, "seed", "i", q("c")), q("."), _between(1, 8, "seed", "i", q("d")), q("."), f"lpad({_between(1, 27, 'seed', 'i', q('e'))}, 2, '0')", q("."), f"lpad({_between(1, 9999, 'seed', 'i', q('f'))}, 4, '0')"))
+    a = _changed(source, _each_match("t", augment.PROCESS, lambda _: f"({process})"))
+    b = _changed(f"({a})", _each_match("t", augment.SHEETS, lambda k: f"'fls. ' || {_between(100, 900, 'seed', 'i', k, q('g'))} || '/' || {_between(100, 980, 'seed', 'i', k, q('h'))}"))
+    return _changed(f"({b})", _each_match("t", augment.AMOUNT, lambda k: f"'R$ ' || {_between(1, 80, 'seed', 'i', k, q('v'))} || '.000,00'"))
+
+
+def _dates_of(source: str) -> str:
+    q = lambda c: f"'{c}'"
+    t = "t"
+    for name in augment.CITIES_OUT:
+        t = f"replace({t}, '{name}', {_one_of(augment.CITIES, 'seed', q('cidade'))})"
+    a = _changed(source, t)
+    made = lambda k: f"{_between(1, 28, 'seed', 'i', k, q('d'))} || ' de ' || {_one_of(augment.MONTHS, 'seed', 'i', k, q('m'))} || ' de ' || {_between(2020, 2025, 'seed', 'i', k, q('a'))}"
+    return _changed(f"({a})", _each_match("t", augment.LONG_DATE.replace("(?iu)", "(?i)"), made))
+
+
+def _noise_of(source: str) -> str:
+    swaps = "".join(f" WHEN '{a}' THEN '{b}' WHEN '{a.upper()}' THEN '{b.upper()}'" for a, b in augment.OCR_SWAPS.items())
+    x = "((('0x' || substring(md5(seed), 1, 8))::BIGINT + i * 7919 + (k - 1) * 104729) % 2147483647)"
+    hit = f"(({x} * {x} + 12345) % 2147483647) % 10000 < {int(augment.OCR_SHARE * 10_000)}"
+    return _changed(source, f"array_to_string(list_transform(regexp_extract_all(t, '(?s).'), lambda c, k: CASE WHEN {hit} THEN CASE c{swaps} ELSE c END ELSE c END), '')")
+
+
+def _dropped(source: str) -> str:
+    split = rf"string_split(regexp_replace(t, '([.!?])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1))"
+    own = f"SELECT *, {split} AS l, list_filter(list_transform({split}, lambda s, k: CASE WHEN length(s) > 40 AND length(s) < 180 THEN k END), lambda k: k IS NOT NULL) AS c FROM {source}"
+    at = f"c[{_draw('greatest(len(c), 1)', 'seed', 'i', chr(39) + 'frase' + chr(39))} + 1]"
+    return _changed(f"({own})", f"CASE WHEN len(c) > 0 THEN array_to_string(list_filter(l, lambda s, k: k <> {at}), ' ') ELSE t END")
+
+
+def _named(source: str) -> str:
+    party = augment.PARTY.replace("'", "''")
+    names = f"SELECT documento_id, parte, list_filter(list_transform(regexp_extract_all(string_agg(t, '' ORDER BY i), '{party}', 1), lambda n: trim(n)), lambda n: length(n) > 8) AS found FROM {source} GROUP BY documento_id, parte"
+    t = "t"
+    for k in range(len(augment.NAMES)):
+        new = "[" + ", ".join(f"'{v}'" for v in augment.NAMES) + f"][({_draw(str(len(augment.NAMES)), 'seed', chr(39) + 'nomes' + chr(39))} + {k}) % {len(augment.NAMES)} + 1]"
+        t = f"CASE WHEN len(found) > {k} THEN replace({t}, found[{k + 1}], {new}) ELSE {t} END"
+    return _changed(f"(SELECT s.*, found FROM {source} s JOIN ({names}) f ON f.documento_id = s.documento_id AND f.parte = s.parte)", t)
+
+
+_PARTS = {"sinonimos": _synonyms_of, "ocr": _noise_of, "insere": _inserted, "remove_frase": _dropped, "troca_nomes": _named, "troca_protocolo": _numbers_of, "troca_data": _dates_of}
+
+
+def _variant_sql(op: str) -> str:
+    """The variants of one operation: (documento_id, parte, variante, perdidas)."""
+    base = f"""{_GT.replace("gt AS (SELECT g.*, d.text,", "gt AS (SELECT g.*, d.text, concat_ws('|', '42', g.documento_id, g.parte, '" + op + "') AS seed,")},
+parts AS (SELECT documento_id, parte, 2 * gi AS i, 'livre' AS tipo, seed, {_FREE} AS t FROM gt UNION ALL SELECT documento_id, parte, 2 * gi + 1, 'fixo', seed, {_FIXED} FROM gt
+  UNION ALL SELECT documento_id, parte, 2 * count(*), 'livre', any_value(seed), {_TAIL} FROM gt GROUP BY documento_id, parte)"""
+    joined = "SELECT documento_id, parte, string_agg(t, '' ORDER BY i) AS variante FROM ({0}) GROUP BY documento_id, parte".format
+    if op in _PARTS:
+        made = joined(_PARTS[op]("parts"))
+    elif op == "combina":
+        made = joined(_numbers_of(f"({_inserted('syn')})"))
+        base += f", syn AS ({_synonyms_of('parts')})"
+    elif op == "expande":
+        head, tail = augment.CLOSING.split("{}")
+        made = f"SELECT documento_id, parte, any_value(text) || '{head}' || {_one_of(augment.CITIES, 'any_value(seed)', chr(39) + 'fim' + chr(39))} || '{tail}' AS variante FROM gt GROUP BY documento_id, parte"
+    else:
+        base += """, texts AS (SELECT documento_id, parte, any_value(text) AS text, any_value(seed) AS seed, list({'a': inicio, 'b': fim}) AS spans FROM gt GROUP BY documento_id, parte),
+blocks AS (SELECT documento_id, parte, seed, spans, unnest(range(len(l))) AS k, unnest(l) AS t, l FROM (SELECT *, string_split(text, chr(10) || chr(10)) AS l FROM texts)),
+placed AS (SELECT documento_id, parte, seed, k, t, len(list_filter(spans, lambda s: s.a < spot + length(t) AND s.b > spot)) = 0 AS free FROM (SELECT *, coalesce(sum(length(t) + 2) OVER (PARTITION BY documento_id, parte ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM blocks)),
+places AS (SELECT *, row_number() OVER (PARTITION BY documento_id, parte ORDER BY k) AS r FROM placed WHERE free),
+order_ AS (SELECT documento_id, parte, t, row_number() OVER (PARTITION BY documento_id, parte ORDER BY md5(concat_ws('|', seed, k)), k) AS r FROM placed WHERE free),
+moved AS (SELECT p.documento_id, p.parte, p.k, o.t FROM places p JOIN order_ o USING (documento_id, parte, r) UNION ALL SELECT documento_id, parte, k, t FROM placed WHERE NOT free)"""
+        made = "SELECT documento_id, parte, string_agg(t, chr(10) || chr(10) ORDER BY k) AS variante FROM moved GROUP BY documento_id, parte"
+    return f"""{base}, made AS ({made})
+SELECT m.documento_id, m.parte, m.variante, count(*) FILTER (NOT contains(m.variante, {_FIXED.replace("text", "g.text")}))::INT AS perdidas FROM made m JOIN gt g ON g.documento_id = m.documento_id AND g.parte = m.parte GROUP BY m.documento_id, m.parte, m.variante"""
+
+
 _SEED = "'42|' || documento_id || '|' || parte"
 _I = "indice || '|1|'"
 ORACLE = {
@@ -354,7 +461,7 @@ ORACLE = {
       a AS (SELECT documento_id, plain, NOT contains(plain, '<start>') AND NOT contains(plain, '<end>') AND k >= {train_data.MIN_MARKS} AND length(plain) BETWEEN {train_data.MIN_CHARS} AND {train_data.MAX_CHARS} AS ok FROM p)
       SELECT documento_id, ok AS aceito, CASE WHEN ok THEN length(plain) END AS n FROM a""",
     "sample_sources": "SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 5",
-    "request_prompts": f"SELECT indice, 'Escreva um ' || {_pick(augment.GENRES, _I + chr(32).join(['||']) + chr(39) + 'g' + chr(39))} || ' do ' || {_pick(augment.COURTS, _I + '||' + chr(39) + 't' + chr(39))} || ' sobre ' || {_pick(augment.TOPICS, _I + '||' + chr(39) + 'm' + chr(39))} || '. Tamanho entre 2200 e 3400 caracteres. Inclua de 6 a 10 citações. Prosa contínua. Variação ' || indice || '.' AS pedido FROM (SELECT doc_id AS indice FROM documents)",
-    "augment_synonym": f"{_GT} SELECT documento_id, parte, string_agg({_replaced(_FREE)} || {_FIXED}, '' ORDER BY gi) || {_replaced(_TAIL)} AS variante, 0 AS perdidas FROM gt GROUP BY documento_id, parte",
-    "augment_closing": f"{_GT} SELECT documento_id, parte, any_value(text) || '{augment.CLOSING.split('{}')[0]}' || {_pick(augment.CITIES, _SEED + ' || ' + chr(39) + '|expande|fim' + chr(39))} || '{augment.CLOSING.split('{}')[1]}' AS variante, 0 AS perdidas FROM gt GROUP BY documento_id, parte",
+    "request_prompts": f"SELECT indice, 'Escreva um ' || {_pick(augment.GENRES, _I + chr(32).join(['||']) + chr(39) + 'g' + chr(39))} || ' do ' || {_pick(augment.COURTS, _I + '||' + chr(39) + 't' + chr(39))} || ' sobre ' || {_pick(augment.TOPICS, _I + '||' + chr(39) + 'm' + chr(39))} || '{augment.REQUEST}' || indice || '.' AS pedido FROM (SELECT doc_id AS indice FROM documents)",
+    **{f"augment_{name}": _variant_sql(op) for name, op in VARIANTS.items()},
+    "augment_variants": " UNION ALL ".join(f"SELECT documento_id, parte, '{op}' AS operacao, variante, perdidas FROM ({_variant_sql(op)})" for op in augment.OPERATIONS),
 }
