@@ -1,4 +1,5 @@
-"""Text scalars as Column expressions: they stay in the JVM, inside whole-stage codegen.
+"""Text scalars as Column expressions: they stay in the JVM. Plain ones are inside whole-stage
+codegen; `let` and what uses it are higher-order functions, which Spark evaluates by interpretation.
 
 Patterns carry (?U) and (?iuU) so that classes, white space and case follow Unicode.
 Every function gives null for null.
@@ -6,15 +7,14 @@ Every function gives null for null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import unicodedata
+from functools import lru_cache
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with accents and what remains of them; the scanner's letters and their digits.
-ACCENTED = "ÁÀÂÃÄÅáàâãäåÉÈÊËéèêëÍÌÎÏíìîïÓÒÔÕÖóòôõöÚÙÛÜúùûüÇçÑñÝýÿªº"
-PLAIN = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNnYyyao"
+# The scanner's letters and their digits.
 OCR_LETTERS, OCR_DIGITS = "OolIiSgGB", "001115998"
 
 # The patterns that decide how a citation is read.
@@ -82,22 +82,47 @@ def slice_of(chunks: Column, start: Column, length: Column) -> Column:
     return F.substring(part, within + 1, size)
 
 
-def strip_accents(c: Column) -> Column:
-    """Native accent stripping for Latin letters and decomposed text; see exact_accents for full NFKD."""
-    return F.translate(F.regexp_replace(c, "[̀-ͯ]", ""), ACCENTED, PLAIN)
+#: Characters beyond this aren't decomposed; above it are unassigned planes.
+LAST_LETTER = 0x2FA20
+#: Characters that stand for several and are common in these texts; the others are looked up one by one.
+COMMON_SEVERAL = "…™½¼¾№ﬁﬂﬀ℃"
 
 
-def exact_accents(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Full compatibility decomposition without combining marks, by Arrow batches."""
-    import unicodedata
+@lru_cache(maxsize=1)
+def decompositions() -> tuple[str, str, dict[str, str]]:
+    """(characters, what each becomes; those without a counterpart are dropped, characters that become several) under
+    compatibility decomposition without combining marks. Hangul syllables stay composed."""
+    one, none, several = {}, [], {}
+    for code in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, LAST_LETTER)):
+        c = chr(code)
+        made = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if made == c:
+            continue
+        if len(made) == 1:
+            one[c] = made
+        elif made:
+            several[c] = made
+        else:
+            none.append(c)
+    return "".join([*one, *none]), "".join(one.values()), several
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [None if t is None else t if t.isascii() else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)) for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, out])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kinds}, `{out}` string")
+def strip_accents(c: Column) -> Column:
+    """Compatibility decomposition without combining marks: nothing to do for ASCII, one pass for letters that stay one,
+    another where a text holds others. (Sets of characters are looked up by translate, whose table is hashed.)"""
+    letters, plain, several = decompositions()
+    holds = lambda t, chars: F.length(F.translate(t, chars, "")) < F.length(t)
+
+    def expanded(t: Column) -> Column:
+        for x in COMMON_SEVERAL:
+            t = F.replace(t, F.lit(x), F.lit(several[x]))
+        rest = {k: v for k, v in several.items() if k not in COMMON_SEVERAL}
+        table = F.from_json(F.lit(json.dumps(rest)), "map<string,string>")
+        each = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+        return F.when(holds(t, "".join(rest)), each).otherwise(t)
+
+    whole = F.translate(F.when(holds(c, "".join(several)), let(c, expanded)).otherwise(c), letters, plain)
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(whole)
 
 
 def digits_only(c: Column) -> Column:

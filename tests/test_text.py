@@ -53,6 +53,16 @@ def test_ids_and_types(spark):
     assert values(spark, T.useful_number, "123", "1234", "1999", "20190") == [False, True, False, True]
 
 
-def test_exact_accents(spark):
-    df = spark.createDataFrame([("ﬁnal №",), (None,), ("",)], "t string")
-    assert [r.o for r in T.exact_accents(df, "t", "o").collect()] == ["final No", None, ""]
+def test_accents_against_the_unicode_tables(spark):
+    """Every letter that isn't a Hangul syllable, alone and between others."""
+    import unicodedata
+
+    def want(t):
+        return "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+
+    letters = [chr(c) for c in (*range(1, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200), *range(0x2F800, T.LAST_LETTER))]
+    texts = ["".join(letters[k : k + 97]) for k in range(0, len(letters), 97)] + ["ﬁnal №", None, "", "São João… ½ ™ ﬀ ç\u0327 ş ő ２０ ª º"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.o for r in df.select("k", T.strip_accents(F.col("t")).alias("o")).collect()}
+    assert [k for k, t in enumerate(texts) if got[k] != (None if t is None else want(t))] == []
+    assert got[len(texts) - 4] == "final No"
