@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import shutil
@@ -28,6 +29,11 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def is_local(master: str) -> bool:
+    """Whether the workers run in the driver's machine and process tree (not so a local-cluster)."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,17 +42,18 @@ def shared_checkpoints(spark: SparkSession) -> None:
     """Point checkpoint() at the folder the cluster names in spark.checkpoint.dir.
 
     Only where neither the setting nor a folder exists (tests, local runs) is a
-    temporary folder taken, and only for a local master: a cluster without a
-    shared folder is an error, not a reason to write to one machine's disk.
+    temporary folder taken, and only for a local master, and deleted at the end: a
+    cluster without a shared folder is an error, not a reason to write to one machine's disk.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if not is_local(sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="citaria-checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
 
 
@@ -63,7 +70,7 @@ def ship_package(spark: SparkSession) -> None:
     process tree (a plain local master) import it from its place.
     """
     sc = spark.sparkContext
-    if getattr(sc, "_citaria_shipped", False) or re.fullmatch(r"local(\[.*\])?", sc.master):
+    if getattr(sc, "_citaria_shipped", False) or is_local(sc.master):
         return
     root = Path(__file__).resolve().parent
     made = shutil.make_archive(f"{sc._temp_dir}/citaria-{os.getpid()}", "zip", root.parent, root.name)
@@ -71,12 +78,17 @@ def ship_package(spark: SparkSession) -> None:
     sc._citaria_shipped = True
 
 
+#: Bytes of a table up to which it may be spread over the cores by a shuffle.
+SPREAD_BYTES = 256 << 20
+
+
 def scanned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for work that costs much a row: read from fewer splits than there are cores, it is spread over them.
+    """A table for work that costs much a row: a small one of fewer splits than cores is spread over them.
 
-    The number of splits is known from the scan's metadata; on many files or row groups
-    nothing is shuffled.
+    Size and splits are known from the scan's metadata; a large table is never shuffled for this.
     """
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    plan, cores = df._jdf.queryExecution(), spark.sparkContext.defaultParallelism
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
