@@ -25,9 +25,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citaria.session import is_local
+
 #: Fixed value: the public pattern that splits text before the merges.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Folder of the vocabulary files; a parameter of every operator here.
@@ -149,7 +152,17 @@ class PairIndexBPE:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> PairIndexBPE:
-    return PairIndexBPE(path)
+    """The encoder of a vocabulary file, made once a worker; a machine without it has the copy that `shipped` sent."""
+    return PairIndexBPE(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def shipped(df: DataFrame, path: str) -> str:
+    """The path, after the driver's file was given to the executors of a cluster."""
+    sc = df.sparkSession.sparkContext
+    if not is_local(sc.master) and os.path.exists(path) and path not in getattr(sc, "_citaria_files", ()):
+        sc.addFile(path)
+        sc._citaria_files = {*getattr(sc, "_citaria_files", ()), path}
+    return path
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -166,7 +179,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(key, ids ARRAY<INT>), one row for each row of df. No shuffle."""
-    path = f"{folder}/{tokenizer}.json"
+    path = shipped(df, f"{folder}/{tokenizer}.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -184,7 +197,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(keep..., n_tokens BIGINT), one row for each row of df; 0 for null and empty text."""
-    path = f"{folder}/{tokenizer}.json"
+    path = shipped(df, f"{folder}/{tokenizer}.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
