@@ -90,12 +90,24 @@ QUALIFIERS = re.compile(
 ROMAN = re.compile(r"(?<![^\s,;e])\b(?=[LC]*[IVX])[IVXLC]+\b(?:\s*(?:,|e|a|-)\s*(?=[LC]*[IVX])[IVXLC]+\b)*(?=[\s,;]|$)")
 
 
+class Unmarked(dict):
+    """For str.translate: drops combining marks."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = None if unicodedata.combining(chr(code)) else code
+        return self[code]
+
+
+UNMARKED = Unmarked()
+#: Ordinal signs become spaces, characters without width go.
+SIGNS = {**dict.fromkeys(map(ord, "ºª°˚"), " "), **dict.fromkeys((0xAD, 0x200B, *range(0x200C, 0x200E), 0x2060, 0xFEFF))}
+
+
 def plain(text: str) -> str:
     """Without accents and marks that carry nothing; ordinal signs and odd spaces become spaces."""
-    text = re.sub("[ºª°˚]", " ", text)
-    text = re.sub("[­​-‍⁠﻿]", "", text)
-    text = unicodedata.normalize("NFKD", text)
-    return "".join(c for c in text if not unicodedata.combining(c))
+    if text.isascii():
+        return text
+    return unicodedata.normalize("NFKD", text.translate(SIGNS)).translate(UNMARKED)
 
 
 def longest(auto: ahocorasick.Automaton, text: str) -> list[tuple[int, int, object]]:
@@ -116,6 +128,8 @@ def digits(chunk: str) -> str:
     return re.sub(r"\D", "", chunk.translate(SCANNED)).lstrip("0") or "0"
 
 
+#: Without one of these in a text the patterns can't match.
+TRAILER_WORDS, QUALIFIER_WORDS = ("rel", "min.", "dj", "j.", "julg", "publ"), ("§", "par", "inc", "al", "caput", "iten", "item")
 ACT = re.compile(r"\b(?:decreto[\s\-]*)?(?:dec\.?[\s\-]*)?(lei|lc)(\s+c[a-z]{8,13})?\s*(?:federal\s*)?(?:n[.ro]*\s*)?([\d.]+)\s*(?:/|,?\s+de\s+)\s*(\d{2,4})", re.I)
 CODE_YEAR = re.compile(r"\b(cpc|cf|crfb|cc)\s*/\s*(\d{2,4})", re.I)
 
@@ -123,18 +137,25 @@ CODE_YEAR = re.compile(r"\b(cpc|cf|crfb|cc)\s*/\s*(\d{2,4})", re.I)
 def symbols(text: str) -> list[str]:
     """The text as a list of symbols, numbers (# and digits) and unknown words."""
     s = plain(text)
-    s = DATES.sub(" ; ", s)
-    s = TRAILERS.sub(" ", s)
-    s = ACT.sub(lambda m: f" ~{m[1]}{' complementar' if m[2] else ''} {re.sub(r'[^0-9]', '', m[3]).lstrip('0')} {m[4]}~ ", s)
-    s = CODE_YEAR.sub(r" ~\1 \2~ ", s)
+    low = s.lower()
+    if "/" in s or " de " in low or "de " in low:
+        s = DATES.sub(" ; ", s)
+    if any(w in low for w in TRAILER_WORDS):
+        s = TRAILERS.sub(" ", s)
+    if "lei" in low or "lc" in low:
+        s = ACT.sub(lambda m: f" ~{m[1]}{' complementar' if m[2] else ''} {re.sub(r'[^0-9]', '', m[3]).lstrip('0')} {m[4]}~ ", s)
+    if "/" in s:
+        s = CODE_YEAR.sub(r" ~\1 \2~ ", s)
     acts: list[str] = []
 
     def keep(m: re.Match) -> str:
         acts.append(m[1])
         return f" \x01{len(acts) - 1}\x02 "
 
-    s = re.sub("~([^~]*)~", keep, s)
-    s = QUALIFIERS.sub(" , ", s)
+    if "~" in s:
+        s = re.sub("~([^~]*)~", keep, s)
+    if any(w in low for w in QUALIFIER_WORDS):
+        s = QUALIFIERS.sub(" , ", s)
     s = ROMAN.sub(" , ", s)
     numbers: list[str] = []
 
@@ -143,9 +164,9 @@ def symbols(text: str) -> list[str]:
         numbers.append(m[0][0] if ordinal else digits(m[0]))
         return f" \x03{len(numbers) - 1}\x04 "
 
-    s = re.sub(r"(?<![^\W\d_])(?<!\x01)\b5(?=[uú]m)", "s", s)
+    if "5u" in s:
+        s = re.sub(r"(?<![^\W\d_])(?<!\x01)\b5(?=um)", "s", s)
     s = re.sub(r"(?<![\w\x01\x03])(?:[OolISgGBZ]{0,3}(?=[OolISgGBZ.]*\d))?" + NUMBER + r"(?![^\W\d_]*[\x02])", number, s)
-    s = re.sub(r"(?<=[a-z.])(?=\x03)", " ", s)
     words = re.sub(r"[^a-z0-9\x01-\x04]+", " ", s.lower()).split()
     out: list[str] = []
     for w in words:
