@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # The limits of the default model, in tokens and characters.
 CONTEXT_TOKENS, CHARS_PER_TOKEN, OVERHEAD_TOKENS, PROMPT_MARGIN = 4096, 2, 256, 64
+# The extraction doesn't draw.
+TEMPERATURE, SEED = 0.0, 42
 
 
 def of_role(messages: Column, role: str) -> Column:
@@ -38,6 +40,11 @@ def answer_tokens(system: str, context: int = CONTEXT_TOKENS) -> int:
     return max(64, min(context // 2, free * 3 // 5))
 
 
+def sampling(system: str, context: int = CONTEXT_TOKENS) -> dict[str, float | int]:
+    """What a model is to sample an answer with."""
+    return {"temperature": TEMPERATURE, "seed": SEED, "max_tokens": answer_tokens(system, context)}
+
+
 def text_budget(system: str, overlap: int = 200, context: int = CONTEXT_TOKENS) -> int:
     """Characters of text that a window may have beside the prompt and the answer."""
     return max(overlap, context - answer_tokens(system, context) - reserved_tokens(system)) * CHARS_PER_TOKEN

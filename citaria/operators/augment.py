@@ -214,11 +214,11 @@ def variant(text: Column, spans: Column, operation: str, seed: Column) -> Column
     return let(segments(text, spans), lambda parts: joined(CHANGES[operation](parts, seed)))
 
 
-def variants(docs: DataFrame, keys: list[str], seed: int = 42, operations: tuple[str, ...] = OPERATIONS) -> DataFrame:
+def variants(docs: DataFrame, keys: list[str], seed: int = 42, operations: tuple[str, ...] = OPERATIONS, strict: bool = False) -> DataFrame:
     """(keys..., operacao, variante, perdidas INT) of docs (keys, texto, spans): one row a text and operation.
 
-    perdidas: spans whose text is no longer in the variant (0 unless text is broken); one
-    pass over the texts, each is exploded into its variants without a shuffle.
+    perdidas: spans whose text is no longer in the variant (0 unless text is broken); strict
+    stops at the first. One pass over the texts, each is exploded into its variants without a shuffle.
     """
     own = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
     seeded = docs.select(*keys, "texto", "spans", own.alias("_seed"), F.explode(F.array(*map(F.lit, operations))).alias("operacao"))
@@ -229,6 +229,8 @@ def variants(docs: DataFrame, keys: list[str], seed: int = 42, operations: tuple
     rows = seeded.withColumn("_v", F.struct("operacao", made.alias("variante")))
     kept = F.transform("spans", lambda s: F.contains(F.col("_v.variante"), F.substring(F.col("texto"), s["inicio"] + 1, s["fim"] - s["inicio"])))
     lost = F.size(F.filter(kept, lambda x: ~x))
+    if strict:
+        lost = let(lost, lambda n: F.when(n > 0, F.raise_error(F.concat(F.lit("citations lost by "), F.col("_v.operacao"))).cast("int")).otherwise(n))
     return rows.select(*keys, "_v.operacao", "_v.variante", lost.alias("perdidas"))
 
 

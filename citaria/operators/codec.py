@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citaria.functions.spans import intersection, same_span
-from citaria.functions.text import norm_id
+from citaria.functions.spans import keep_first
+from citaria.functions.text import let, norm_id
 
 CLASSES = ["real", "inventada", "incompleta"]
 INTEGER, NUMBER = r"^[+-]?[0-9]+(_[0-9]+)*$", r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -76,10 +76,19 @@ def decoded(f: Column) -> Column:
     )
 
 
-def overlapping(spans: Column, rule) -> Column:
-    """Whether two spans of an array break a rule (a condition on two structs)."""
-    pos = F.transform(spans, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    return F.exists(pos, lambda x: F.exists(pos, lambda y: (x["i"] < y["i"]) & rule(x["s"], y["s"])))
+def in_order(spans: Column) -> Column:
+    """The bounds of the spans that aren't empty, by position."""
+    return F.array_sort(F.transform(F.filter(spans, lambda s: s["fim"] > s["inicio"]), lambda s: F.struct(s["inicio"].alias("inicio"), s["fim"].alias("fim"))))
+
+
+def repeated(spans: Column) -> Column:
+    """Whether two spans of an array overlap by half or more: then one of them is suppressed."""
+    return let(in_order(spans), lambda s: F.size(keep_first(s, "struct<inicio:int,fim:int>", by_position=True)) < F.size(s))
+
+
+def crossing(spans: Column) -> Column:
+    """Whether two spans of an array overlap: by position, some span then overlaps the one before it."""
+    return let(in_order(spans), lambda s: F.exists(F.transform(s, lambda x, i: (i > 0) & (x["inicio"] < F.get(s, i - 1)["fim"])), lambda hit: hit))
 
 
 def decode_submission(df: DataFrame, keys: list[str], cell: str, strict: bool = False) -> DataFrame:
@@ -87,8 +96,7 @@ def decode_submission(df: DataFrame, keys: list[str], cell: str, strict: bool =
     f = df.select(*keys, F.transform(pieces(F.col(cell)), fields).alias("_f"))
     f = f.withColumn("_e", F.try_element_at(F.filter(F.transform("_f", piece_error), lambda e: e.isNotNull()), F.lit(1)))
     f = f.withColumn("_d", F.when(F.col("_e").isNull(), F.transform("_f", decoded)))
-    twice = overlapping(F.col("_d"), lambda a, b: same_span(a["inicio"], a["fim"], b["inicio"], b["fim"]))
-    f = f.withColumn("erro", F.coalesce("_e", F.when(twice, "duplicata")))
+    f = f.withColumn("erro", F.coalesce("_e", F.when(repeated(F.col("_d")), "duplicata")))
     if strict:
         f = f.withColumn("erro", F.when(F.col("erro").isNotNull(), F.raise_error(F.concat(F.lit("invalid submission cell: "), F.col("erro")))))
     return f.select(*keys, F.when(F.col("erro").isNull(), F.col("_d")).alias("citacoes"), "erro")
@@ -104,8 +112,7 @@ def decode_golden(df: DataFrame, keys: list[str], cell: str) -> DataFrame:
 
     f = f.withColumn("_d", F.transform("_f", one))
     bare = F.exists("_d", lambda c: (c["classe"] == "real") & (F.size(c["ids"]) == 0))
-    crossing = overlapping(F.col("_d"), lambda a, b: intersection(a["inicio"], a["fim"], b["inicio"], b["fim"]) > 0)
-    f = f.withColumn("erro", F.when(bare, "real_sem_ids").when(crossing, "sobreposicao"))
+    f = f.withColumn("erro", F.when(bare, "real_sem_ids").when(crossing(F.col("_d")), "sobreposicao"))
     return f.select(*keys, F.when(F.col("erro").isNull(), F.col("_d")).alias("citacoes"), "erro")
 
 

@@ -34,7 +34,7 @@ def rule_marked(rows: DataFrame) -> DataFrame:
 
 
 def model_marked(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], batch_size: int = 1000) -> DataFrame:
-    """load() is called once a task and gives a function from texts to marked texts."""
+    """load() is called once a task and gives a function from texts to marked texts; its close(), if any, is called at the end."""
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
     names, kinds = rows.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -42,10 +42,13 @@ def model_marked(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for batch in batches:
-            for k in range(0, batch.num_rows, batch_size):
-                part = batch.slice(k, batch_size)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model(part.column(at).to_pylist()), pa.string())], names=[*names, "raw"])
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, batch_size):
+                    part = batch.slice(k, batch_size)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model(part.column(at).to_pylist()), pa.string())], names=[*names, "raw"])
+        finally:
+            getattr(model, "close", lambda: None)()
 
     return rows.mapInArrow(run, f"{kinds}, raw string")
 

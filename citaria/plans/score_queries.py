@@ -11,6 +11,8 @@ from citaria.session import table
 from citaria.sources import files
 
 RUN_LEVEL = ["run", "nivel"]
+#: Runs before this have lost their metadata in `run_metadata`, so that the catalogue has to stand in.
+METADATA_SINCE = "20260201"
 
 
 def _rounded(df: DataFrame, *keep: str) -> DataFrame:
@@ -116,9 +118,9 @@ def latest_run(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    """Metadata of the models whose citations are there; runs before February have lost theirs and take the catalogue's."""
+    """Metadata of the runs' models: their own where they have kept it, else the catalogue's."""
     runs = table(spark, sf, "execucoes")
-    kept = runs.where("run >= '20260201'").dropDuplicates(["slug"])
+    kept = runs.where(F.col("run") >= METADATA_SINCE).dropDuplicates(["slug"])
     catalogue = runs.groupBy("name").agg(*(F.max(c).alias(c) for c in ("role", "family", "parameters")))
     return files.with_metadata(runs, kept, catalogue)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
+from citaria.functions.text import model_slug
 from citaria.operators.codec import encode_cell
 from citaria.operators.train_data import stems
 
@@ -127,7 +128,7 @@ def latest(runs: DataFrame, stamp: str = "run_ts") -> DataFrame:
 def with_metadata(runs: DataFrame, meta: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(slug, name, role, family, parameters) of runs: their own metadata, else the catalogue's by slug, else the slug."""
     own = meta.select("slug", *(F.col(c).alias(f"m_{c}") for c in ("name", "role", "family", "parameters")))
-    cat = catalogue.select(F.replace("name", F.lit("/"), F.lit("_")).alias("slug"), *(F.col(c).alias(f"c_{c}") for c in ("name", "role", "family", "parameters")))
+    cat = catalogue.select(model_slug(F.col("name")).alias("slug"), *(F.col(c).alias(f"c_{c}") for c in ("name", "role", "family", "parameters")))
     hit = runs.select("slug").distinct().join(own, "slug", "left").join(cat, "slug", "left")
     cols = [F.coalesce(f"m_{c}", f"c_{c}", *(["slug"] if c == "name" else [])).alias(c) for c in ("name", "role", "family", "parameters")]
     return hit.select("slug", *cols)

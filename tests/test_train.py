@@ -97,3 +97,31 @@ def test_extraction_strategies(spark):
 def test_budgets():
     prompt = "x" * 3042
     assert chat.reserved_tokens(prompt) == 1809 and chat.answer_tokens(prompt) == 1372 and chat.text_budget(prompt) == 1830
+
+
+def test_models_are_closed_and_lost_citations_stop_a_strict_run(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([("d", "um REsp 1 aqui")], "d string, texto string")
+    mark = str(tmp_path / "closed")
+
+    class Model:
+        def __call__(self, texts):
+            return [t.upper() for t in texts]
+
+        def close(self):
+            open(mark, "w").close()
+
+    assert extract.model_marked(docs, Model, 2).first().raw == "UM RESP 1 AQUI" and (tmp_path / "closed").exists()
+    kind = "d string, texto string, spans array<struct<inicio:int,fim:int>>"
+    good = spark.createDataFrame([("d", "Decido. REsp 1", [(8, 14)])], kind)
+    assert augment.variants(good, ["d"], operations=("sinonimos",), strict=True).first().perdidas == 0
+    monkeypatch.setitem(augment.CHANGES, "sinonimos", lambda parts, seed: F.filter(parts, lambda p: p["tipo"] == "livre"))
+    assert augment.variants(good, ["d"], operations=("sinonimos",)).first().perdidas == 1
+    with pytest.raises(Exception, match="citations lost"):
+        augment.variants(good, ["d"], operations=("sinonimos",), strict=True).collect()
+
+
+def test_sampling_and_temperatures():
+    from citaria.functions import chat
+
+    assert chat.sampling("x" * 3042) == {"temperature": 0.0, "seed": 42, "max_tokens": 1372}
+    assert [augment.temperature(k) for k in (1, 2, 3, 4)] == [0.8, 0.9, 1.0, 1.1]
