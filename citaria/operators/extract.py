@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from citaria.operators.tags import citations_of_windows
 from citaria.operators.windows import DEFAULT_BUDGET, DEFAULT_OVERLAP, windows
 
-# What the rule model marks.
+# What the rule model marks. A name may follow any character but an ASCII letter, digit or underscore, so that
+# what stands after garbled letters is found too.
 RULE = (
-    r"(?iu)(?:\b(?:art(?:igo)?s?\.?)\s*\d[\d.]*[ºo°]?(?:,?\s*(?:caput|§\s*\d+[ºo°]?|inciso\s+[IVXLC]+|par[aá]grafo\s+[uú]nico))*,?\s*(?:d[aoe]\s+)?(?:Lei\s+n[.ºo°]*\s*[\d.]+/\d{2,4}|C[oó]digo\s+[A-ZÀ-Ú][\wÀ-ú]+(?:\s+[A-ZÀ-Ú][\wÀ-ú]+)?|CPC|CPP|CDC|CLT|CPM|CF|CC)"
-    r"|\bs[uú]mula(?:\s+vinculante)?(?:\s+n[.ºo°]*)?\s*\d+(?:\s*(?:do|da|/|-)\s*(?:STF|STJ|TST|TSE|STM))?"
-    r"|\b(?:REsp|AREsp|RE|HC|ADI|Rcl|RO|APL)\s*n?[.ºo°]*\s*\d[\d.]*\d(?:/[A-Z]{2})?)"
+    r"(?iu)(?:(?<![A-Za-z0-9_])(?:art(?:igo)?s?\.?)\s*\d[\d.]*[ºo°]?(?:,?\s*(?:caput|§\s*\d+[ºo°]?|inciso\s+[IVXLC]+|par[aá]grafo\s+[uú]nico))*,?\s*(?:d[aoe]\s+)?(?:Lei\s+n[.ºo°]*\s*[\d.]+/\d{2,4}|C[oó]digo\s+[A-ZÀ-Ú][\wÀ-ú]+(?:\s+[A-ZÀ-Ú][\wÀ-ú]+)?|CPC|CPP|CDC|CLT|CPM|CF|CC)"
+    r"|(?<![A-Za-z0-9_])s[uú]mula(?:\s+vinculante)?(?:\s+n[.ºo°]*)?\s*\d+(?:\s*(?:do|da|/|-)\s*(?:STF|STJ|TST|TSE|STM))?"
+    r"|(?<![A-Za-z0-9_])(?:REsp|AREsp|RE|HC|ADI|Rcl|RO|APL)\s*n?[.ºo°]*\s*\d[\d.]*\d(?:/[A-Z]{2})?)"
 )
 
 

@@ -290,7 +290,7 @@ raws AS (SELECT documento_id, parte, w0, t, coalesce(n, 0) AS n, coalesce(s, [])
 ex AS (SELECT documento_id, parte, w0, t, {_NEEDLE} AS l FROM raws),
 {_walk("documento_id, parte, w0")}
 SELECT documento_id, parte, w0::INT AS inicio, n::INT AS n_spans, '{V.SYSTEM}' AS sistema, 'documento_id: ' || documento_id || '#' || parte || chr(10) || chr(10) || t AS usuario, raw AS resposta FROM raws LEFT JOIN kept k USING (documento_id, parte, w0) WHERE coalesce(k.l, []) = s"""
-_RULE = extract.RULE.removeprefix("(?iu)").replace("'", "''")
+_RULE = extract.RULE.removeprefix("(?iu)").replace("(?<![A-Za-z0-9_])", r"\b").replace("'", "''")
 #: The resolution's SQL over the citations that the rule model finds, as rows of a document with one section.
 _END_TO_END = f"""WITH RECURSIVE {_windows_sql(windows.DEFAULT_BUDGET, windows.DEFAULT_OVERLAP, 'doc_id')},
 ex AS (SELECT doc_id, w0, w1, n AS tot, t, {_NEEDLE} AS l FROM (SELECT doc_id, a AS w0, fim AS w1, n, substring(text, a + 1, fim - a) AS t, regexp_replace(substring(text, a + 1, fim - a), '({_RULE})', '<start>\\1<end>', 'gi') AS raw FROM win)),

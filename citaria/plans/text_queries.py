@@ -17,8 +17,8 @@ WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\
 #: What compatibility decomposition does beyond DuckDB's strip_accents, as far as court texts have it: signs of
 #: ordinals and powers, odd spaces, lone accents, full width, and those that become several.
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
-_ODD = "ªº²³¹µ\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000´¨¸¯" + _WIDE
-_EVEN = "ao231μ" + " " * 19 + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
+_ODD = "ªº²³¹µ\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000´¨¸¯˘˙˚˛˜˝" + _WIDE
+_EVEN = "ao231μ" + " " * 25 + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
 _SEVERAL = {"…": "...", "™": "TM", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "№": "No", "ﬁ": "fi", "ﬂ": "fl"}
 
 
