@@ -115,10 +115,16 @@ def reporter_named(reporter: Column, context: Column) -> Column:
     return F.exists(parts, lambda p: context.contains(p))
 
 
-def ruling_hits(numbered: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., id, texto_len): rulings of the numbers (_numeros) of each citation; a null row for a number without any."""
-    numbers = numbered.select(*keys, F.explode("_numeros").alias("numero"))
-    return numbers.join(small(index.select("numero", "id", "texto_len")), "numero", "left").drop("numero")
+def numbered(citations: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., _numeros, and what `contexts` needs of the citations)."""
+    more = [c for c in citations.columns if c not in (*keys, "trecho", "classificacao")]
+    return citations.select(*keys, *more, T.cited_numbers(F.coalesce("trecho", F.lit(""))).alias("_numeros"))
+
+
+def ruling_hits(numbers: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., id, texto_len, ...): rulings of the numbers (_numeros) of each citation; a null row for a number without any."""
+    rows = numbers.withColumn("numero", F.explode("_numeros")).drop("_numeros")
+    return rows.join(small(index.select("numero", "id", "texto_len")), "numero", "left").drop("numero")
 
 
 def ruling_lengths(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,20 +133,23 @@ def ruling_lengths(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.groupBy(*keys).agg(F.min("id").alias("um"), (F.max("id") > F.min("id")).alias("varios"), F.min("texto_len").alias("menor"), F.max("texto_len").alias("maior"), F.max_by("id", order).alias("mais_longo"))
 
 
-def ruling_ties(hits: DataFrame, open_: DataFrame, citations: DataFrame, index: DataFrame, keys: list[str], contexts: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    """(keys..., pontos, n_pontos, por_cabecalho, n_relator, por_relator) of the citations in open_ (keys).
+def ruling_ties(hits: DataFrame, index: DataFrame, keys: list[str], contexts: Callable[[DataFrame], DataFrame] | None, every: bool = False) -> DataFrame:
+    """(keys..., pontos, n_pontos, por_cabecalho, n_relator, por_relator) of the citations with several rulings that their lengths don't decide.
 
     pontos: words that a candidate's header shares with the context. contexts gives citations their
-    column contexto; None: they have it.
+    column contexto; None: they have it. every: those that lengths decide too.
     """
-    rows = citations.join(open_.select(*keys), keys, "left_semi")
-    rows = (rows if contexts is None else contexts(rows)).select(*keys, F.lower(T.strip_accents(F.coalesce("contexto", F.lit("")))).alias("_ctx"))
+    own = Window.partitionBy(*keys)
+    bounds = {"_um": F.min("id"), "_outro": F.max("id"), "menor": F.min("texto_len"), "maior": F.max("texto_len")}
+    open_ = hits.withColumns({n: c.over(own) for n, c in bounds.items()}).where(F.col("id").isNotNull() & (F.col("_outro") > F.col("_um")))
+    if not every:
+        open_ = open_.where(~F.coalesce(same_case(), F.lit(False)))
+    rows = open_.drop(*bounds, "texto_len").dropDuplicates([*keys, "id"])
     heads = index.select("id", "relator", "cabecalho").dropDuplicates(["id"])
-    pairs = hits.where("id is not null").join(open_.select(*keys), keys, "left_semi").select(*keys, "id").distinct()
-    pairs = pairs.join(small(heads), "id").join(rows, keys)
+    pairs = (rows if contexts is None else contexts(rows)).select(*keys, "id", F.lower(T.strip_accents(F.coalesce("contexto", F.lit("")))).alias("_ctx")).join(small(heads), "id")
     points = F.size(F.array_intersect(T.long_words(F.col("_ctx")), T.long_words(F.col("cabecalho"))))
     scored = pairs.select(*keys, "id", points.alias("pontos"), reporter_named(F.col("relator"), F.col("_ctx")).alias("citado"))
-    best = scored.withColumn("_top", F.max("pontos").over(Window.partitionBy(*keys)))
+    best = scored.withColumn("_top", F.max("pontos").over(own))
     return best.groupBy(*keys).agg(
         F.max("pontos").alias("pontos"),
         F.count_if(F.col("pontos") == F.col("_top")).alias("n_pontos"),
@@ -154,12 +163,10 @@ def same_case() -> Column:
     return (F.col("maior") > 0) & (F.col("menor") >= F.col("maior") * F.lit(SAME_LENGTH))
 
 
-def resolve_numbered(numbered: DataFrame, citations: DataFrame, index: DataFrame, keys: list[str], contexts: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    """(keys..., _v) of ruling citations with numbers (keys, _numeros)."""
-    hits = ruling_hits(numbered, index, keys)
-    found = ruling_lengths(hits, keys)
-    open_ = found.where(F.col("varios") & ~F.coalesce(same_case(), F.lit(False)))
-    all_ = found.join(ruling_ties(hits, open_, citations, index, keys, contexts), keys, "left")
+def resolve_numbered(numbers: DataFrame, index: DataFrame, keys: list[str], contexts: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """(keys..., _v) of ruling citations with numbers (see `numbered`)."""
+    hits = ruling_hits(numbers, index, keys)
+    all_ = ruling_lengths(hits, keys).join(ruling_ties(hits, index, keys, contexts), keys, "left")
     v = (
         F.when(F.col("um").isNull(), verdict("inventada"))
         .when(~F.col("varios"), verdict("real", F.col("um")))
@@ -173,9 +180,9 @@ def resolve_numbered(numbered: DataFrame, citations: DataFrame, index: DataFrame
 
 def resolve_ruling(citations: DataFrame, index: DataFrame, keys: list[str], contexts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One candidate is it; of several of one length, the longest; else the only best header; else the only reporter named."""
-    parsed = citations.select(*keys, T.cited_numbers(F.coalesce("trecho", F.lit(""))).alias("_numeros"))
+    parsed = numbered(citations, keys)
     none = parsed.where(F.size("_numeros") == 0).select(*keys, verdict("incompleta").alias("_v"))
-    some = resolve_numbered(parsed.where(F.size("_numeros") > 0), citations, index, keys, contexts)
+    some = resolve_numbered(parsed.where(F.size("_numeros") > 0), index, keys, contexts)
     return _finish(none.unionByName(some), keys, F.col("_v"))
 
 
@@ -203,7 +210,8 @@ def resolve(citations: DataFrame, corpus: DataFrame | None, keys: list[str], con
     in_place = parsed.where(F.coalesce(F.size("_numeros"), F.lit(0)) <= 0).select(*keys, "_route", tipo, "_sumula.*", "_lei.*")
     looked = with_statutes(with_sumulas(in_place, sumulas(corpus)), statutes(corpus))
     v = F.when(F.col("_route") == "lei", statute_verdict()).when(F.col("_route") == "sumula", sumula_verdict()).otherwise(verdict("incompleta"))
-    rulings_ = resolve_numbered(parsed.where(F.size("_numeros") > 0), citations, rulings(corpus), keys, contexts)
+    of_rulings = numbered(citations.where(route(F.col("trecho")) == "acordao"), keys).where(F.size("_numeros") > 0)
+    rulings_ = resolve_numbered(of_rulings, rulings(corpus), keys, contexts)
     done = looked.select(*keys, "tipo", v.alias("_v")).unionByName(rulings_.select(*keys, F.lit("jurisprudencia").alias("tipo"), "_v"))
     return done.select(*keys, "tipo", "_v.classificacao", "_v.id_canonico")
 

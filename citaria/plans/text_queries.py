@@ -152,19 +152,18 @@ def resolve_acordao(spark: SparkSession, sf: str) -> DataFrame:
     return R.resolve_ruling(*_rulings(spark, sf), ["citacao_id"], _contexts(spark, sf))
 
 
-def _lengths(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     cited, index = _rulings(spark, sf)
-    hits = R.ruling_hits(cited.select("citacao_id", T.cited_numbers(F.coalesce("trecho", F.lit(""))).alias("_numeros")), index, ["citacao_id"])
-    return hits, R.ruling_lengths(hits, ["citacao_id"]).where("varios")
+    return R.ruling_hits(R.numbered(cited, ["citacao_id"]), index, ["citacao_id"]), index
 
 
 def _ties(spark: SparkSession, sf: str) -> DataFrame:
-    hits, several = _lengths(spark, sf)
-    return R.ruling_ties(hits, several, *_rulings(spark, sf), ["citacao_id"], _contexts(spark, sf))
+    return R.ruling_ties(*_hits(spark, sf), ["citacao_id"], _contexts(spark, sf), every=True)
 
 
 def tiebreak_length(spark: SparkSession, sf: str) -> DataFrame:
-    return _lengths(spark, sf)[1].select("citacao_id", "menor", "maior", F.when(R.same_case(), F.col("mais_longo")).alias("id_canonico"))
+    several = R.ruling_lengths(_hits(spark, sf)[0], ["citacao_id"]).where("varios")
+    return several.select("citacao_id", "menor", "maior", F.when(R.same_case(), F.col("mais_longo")).alias("id_canonico"))
 
 
 def tiebreak_header(spark: SparkSession, sf: str) -> DataFrame:
