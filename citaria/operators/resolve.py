@@ -115,9 +115,10 @@ def reporter_named(reporter: Column, context: Column) -> Column:
     return F.exists(parts, lambda p: context.contains(p))
 
 
-def numbered(citations: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., _numeros, and what `contexts` needs of the citations)."""
-    more = [c for c in citations.columns if c not in (*keys, "trecho", "classificacao")]
+def numbered(citations: DataFrame, keys: list[str], contexts: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """(keys..., _numeros, and the columns that `contexts` names in its attribute `needs`, else contexto)."""
+    needs = ["contexto"] if contexts is None else getattr(contexts, "needs", [])
+    more = [c for c in needs if c not in keys]
     return citations.select(*keys, *more, T.cited_numbers(F.coalesce("trecho", F.lit(""))).alias("_numeros"))
 
 
@@ -180,7 +181,7 @@ def resolve_numbered(numbers: DataFrame, index: DataFrame, keys: list[str], cont
 
 def resolve_ruling(citations: DataFrame, index: DataFrame, keys: list[str], contexts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One candidate is it; of several of one length, the longest; else the only best header; else the only reporter named."""
-    parsed = numbered(citations, keys)
+    parsed = numbered(citations, keys, contexts)
     none = parsed.where(F.size("_numeros") == 0).select(*keys, verdict("incompleta").alias("_v"))
     some = resolve_numbered(parsed.where(F.size("_numeros") > 0), index, keys, contexts)
     return _finish(none.unionByName(some), keys, F.col("_v"))
@@ -195,7 +196,9 @@ def route(c: Column) -> Column:
 def resolve(citations: DataFrame, corpus: DataFrame | None, keys: list[str], contexts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(keys..., tipo, classificacao, id_canonico) of citations (keys, trecho, contexto[, classificacao]).
 
-    contexts: gives the few citations that need it their column contexto; None if all have it.
+    keys identify a citation: of ruling citations with equal keys the numbers are taken together.
+    contexts: gives the few citations that need it their column contexto, from the columns that
+    its attribute `needs` names; None if all have it. Other columns are ignored, whatever their names.
     Without a corpus nothing can be real: `real` becomes `incompleta`, and ids are cleared.
     """
     text = F.coalesce("trecho", F.lit(""))
@@ -210,7 +213,7 @@ def resolve(citations: DataFrame, corpus: DataFrame | None, keys: list[str], con
     in_place = parsed.where(F.coalesce(F.size("_numeros"), F.lit(0)) <= 0).select(*keys, "_route", tipo, "_sumula.*", "_lei.*")
     looked = with_statutes(with_sumulas(in_place, sumulas(corpus)), statutes(corpus))
     v = F.when(F.col("_route") == "lei", statute_verdict()).when(F.col("_route") == "sumula", sumula_verdict()).otherwise(verdict("incompleta"))
-    of_rulings = numbered(citations.where(route(F.col("trecho")) == "acordao"), keys).where(F.size("_numeros") > 0)
+    of_rulings = numbered(citations.where(route(F.col("trecho")) == "acordao"), keys, contexts).where(F.size("_numeros") > 0)
     rulings_ = resolve_numbered(of_rulings, rulings(corpus), keys, contexts)
     done = looked.select(*keys, "tipo", v.alias("_v")).unionByName(rulings_.select(*keys, F.lit("jurisprudencia").alias("tipo"), "_v"))
     return done.select(*keys, "tipo", "_v.classificacao", "_v.id_canonico")

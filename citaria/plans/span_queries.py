@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from citaria.operators import augment, extract, resolve, tags, train_data, windo
 from citaria.plans import text_queries
 from citaria.plans import views as V
 from citaria.plans.text_queries import WS
-from citaria.session import scanned, shared_checkpoints, table
+from citaria.session import scanned, shared_checkpoints, ship_package, table
 from citaria.sources import files
 
 SMALL_BUDGET, SMALL_OVERLAP = 300, 40
@@ -172,6 +174,30 @@ def request_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return augment.requests(None, spark, 1, _docs(spark, sf).select(F.col("doc_id").alias("indice")))
 
 
+def retry_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests that are tried again until they are accepted (here by a draw), with the round and its temperature."""
+
+    def attempt(left: DataFrame, k: int) -> DataFrame:
+        lucky = (augment.draw(3, F.col("indice"), k, "aceito") > 0) | F.lit(k == 4)
+        return left.where(lucky).select("indice", F.lit(k).alias("rodada"), F.lit(augment.temperature(k)).alias("temperatura"))
+
+    return augment.until_accepted(_docs(spark, sf).select(F.col("doc_id").alias("indice")), attempt)
+
+
+class CourtMarker:
+    """A model for `model_marks`: marks the short names of courts."""
+
+    def __call__(self, texts: list[str | None]) -> list[str | None]:
+        return [None if t is None else re.sub(r"(?a)\b(STF|STJ|TST|TSE|STM)\b", r"<start>\1<end>", t) for t in texts]
+
+
+def model_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows marked by a batched callable in Python workers."""
+    ship_package(spark)
+    rows = table(spark, sf, "janela").select("janela_id", F.col("text").alias("texto"))
+    return extract.model_marked(rows, CourtMarker).select("janela_id", "raw")
+
+
 def label_mask(spark: SparkSession, sf: str) -> DataFrame:
     """Label masks over white-space tokens (a token's id is its length here): sizes, and tokens to learn."""
     e = V.examples(spark, sf, "prata").where("texto is not null and raw is not null")
@@ -221,6 +247,8 @@ QUERIES = {
     "limpar_filter": limpar_filter,
     "sample_sources": sample_sources,
     "request_prompts": request_prompts,
+    "retry_rounds": retry_rounds,
+    "model_marks": model_marks,
     "label_mask": label_mask,
     **{f"augment_{name}": _variant(op) for name, op in VARIANTS.items()},
     "augment_variants": augment_variants,
@@ -436,6 +464,10 @@ ORACLE = {
     "span_locate_ws": _LOOSE.replace("{needle}", "' ' || replace(trecho, ' ', chr(10) || '  ')"),
     "tag_parse": _TAGS,
     "roundtrip_accept": _ROUND_TRIP,
+    "retry_rounds": "SELECT doc_id AS indice, r::INT AS rodada, round(0.7::DOUBLE + 0.1::DOUBLE * r, 6) AS temperatura FROM (SELECT doc_id, CASE "
+    + " ".join(f"WHEN {_draw('3', 'doc_id', str(k), chr(39) + 'aceito' + chr(39))} > 0 THEN {k}" for k in (1, 2, 3))
+    + " ELSE 4 END AS r FROM documents)",
+    "model_marks": r"SELECT janela_id, regexp_replace(text, '\b(STF|STJ|TST|TSE|STM)\b', '<start>\1<end>', 'g') AS raw FROM janela",
     "silver_rows": _SILVER,
     "end_to_end": _END_TO_END,
     "label_mask": r"""WITH msg AS (SELECT exemplo_id, list_filter(messages, lambda m: m.role = 'user' AND m.content IS NOT NULL)[1].content AS u, list_filter(messages, lambda m: m.role = 'assistant' AND m.content IS NOT NULL)[1].content AS raw FROM prata),

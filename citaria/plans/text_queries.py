@@ -154,7 +154,7 @@ def resolve_acordao(spark: SparkSession, sf: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     cited, index = _rulings(spark, sf)
-    return R.ruling_hits(R.numbered(cited, ["citacao_id"]), index, ["citacao_id"]), index
+    return R.ruling_hits(R.numbered(cited, ["citacao_id"], _contexts(spark, sf)), index, ["citacao_id"]), index
 
 
 def _ties(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,8 +192,8 @@ _ROUTE = f"CASE WHEN {_TYPE} = 'lei' THEN 'lei' WHEN {_SEEN} THEN 'sumula' ELSE
 _SUMULAS = f"sumulas AS (SELECT * FROM (SELECT id, {Z(X('texto', T.SUMULA_IN_CORPUS))} AS numero, nullif(upper(coalesce(tribunal, '')), '') AS tribunal, regexp_matches(texto, 'vinculante', 'i') AS vinculante FROM corpus WHERE natureza = 'sumula') WHERE numero IS NOT NULL)"
 _STATUTES = f"statutes AS (SELECT id, numero, {corpus_code_sql('b')} AS diploma FROM (SELECT id, {Z(X('texto', T.ARTICLE_IN_CORPUS))} AS numero, {B(f'substring(texto, 1, {T.DIPLOMA_PREFIX})')} AS b FROM corpus WHERE natureza = 'dispositivo') WHERE numero IS NOT NULL)"
 _DATES = rf"regexp_replace(substring(texto, 1, {T.NUMBER_PREFIX}), '{T.DATE}', ' ', 'g')"
-_RULINGS = f"""rulings AS (SELECT unnest(CASE WHEN tribunal = 'TST' THEN labour WHEN tribunal = 'STJ' THEN others[1:2] ELSE others[1:1] END) AS numero, id, relator, texto_len, lower({A(f'substring(texto, 1, {T.HEADER_PREFIX})')}) AS cabecalho FROM (SELECT * EXCLUDE (o), list_filter(o, lambda x, i: list_position(o, x) = i) AS others FROM (
-  SELECT *, list_transform(regexp_extract_all(substring(texto, 1, {T.TST_PREFIX}), '{T.CNJ}')[1:1], lambda x: {D('x')}) AS labour,
+_RULINGS = f"""rulings AS (SELECT unnest(CASE WHEN tribunal = 'TST' THEN labour WHEN tribunal = 'STJ' THEN others[1:2] ELSE others[1:1] END) AS numero, id, relator, texto_len, lower({A(f'substring(texto, 1, {T.HEADER_PREFIX})')}) AS cabecalho FROM (SELECT * EXCLUDE (o, l), list_filter(o, lambda x, i: list_position(o, x) = i) AS others, list_filter(l, lambda x, i: list_position(l, x) = i) AS labour FROM (
+  SELECT *, list_transform(list_concat(regexp_extract_all(substring(texto, 1, {T.TST_PREFIX}), '{T.CNJ}')[1:1], regexp_extract_all(regexp_extract(texto, '(?i){T.PROCESS_ANCHOR}', 0), '{T.CNJ}')[1:1]), lambda x: {D('x')}) AS l,
     list_filter(list_transform(regexp_extract_all({_DATES}, '{T.HEADER_BLOCK}'), lambda x: {D('x')}), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^(19|20)[0-9][0-9]$')) AS o FROM corpus WHERE natureza = 'acordao')))"""
 
 

@@ -184,6 +184,7 @@ def contexts(docs: DataFrame, keys: list[str], text: str = "text"):
         ctx = T.context(F.col("_text"), F.col("inicio"), F.col("fim"))
         return rows.join(own, keys, "left").withColumn("contexto", F.coalesce(ctx, F.lit(""))).drop("_text")
 
+    joined.needs = [*keys, "inicio", "fim"]
     return joined
 
 
