@@ -47,7 +47,7 @@ SEEN = re.compile(SUSPICIOUS)
 #: Letters lost to question marks: one or more in a word (no address, which holds other signs), before a small letter.
 LOST_LETTERS = re.compile(r"(?<![^\s(\[\"'“‘«])[A-Za-zÀ-ÿ\-]*[A-Za-zÀ-ÿ]\?{1,4}[a-zà-ÿ][A-Za-zÀ-ÿ?\-]*(?![^\s.,;:!)\]\"'”’»])")
 #: An apostrophe or what is left of it before the s of an English genitive; Portuguese has few long words that end so.
-GENITIVE = re.compile(r"[A-Za-z]{3,}í(?=s(?![a-zà-ÿ]))")
+GENITIVE = re.compile(r"[A-Za-z]{4,}í(?=s(?![a-zà-ÿ]))")
 #: Texts of these characters alone hold nothing of the kind (but for `GENITIVE` and `LOST_LETTERS`); told from the set of a text's characters.
 PLAIN = frozenset(map(chr, range(0x80))) | frozenset(LOWER) - {"â"}
 

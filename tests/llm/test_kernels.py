@@ -237,7 +237,7 @@ def test_any_number_of_layers(layers):
 def test_letters_lost_without_a_trace_of_bytes():
     for lost in ("A peti??o n?o ? nula", "A pe?a foi juntada e o r?u n?o apelou.", "the trusteeâs request", "the ìnarrowî ground", "the carrierís notice", "O CONDOMÃNIO E A INTIMAÃÃO"):
         assert garble.repair(lost)[0], lost
-    for sound in ("Quem apelou? Ninguém.", "Houve dano?sim", "https://a.b/c?id=3&x=y", "A CONSOLIDAÃÇO", "o país e a raiz", "Luís e Paris", "IRMÃ E IRMÃS, AMANHÃ CÃIBRA", "o júri ouviu o réu; e daí?"):
+    for sound in ("Quem apelou? Ninguém.", "Houve dano?sim", "https://a.b/c?id=3&x=y", "A CONSOLIDAÃÇO", "o país e a raiz", "Luís e Paris", "Viajó a París.", "IRMÃ E IRMÃS, AMANHÃ CÃIBRA", "o júri ouviu o réu; e daí?"):
         assert not garble.repair(sound)[0], sound
 
 
