@@ -278,3 +278,15 @@ def list_of_ids(c: Column) -> Column:
 
 def model_slug(c: Column) -> Column:
     return F.replace(c, F.lit("/"), F.lit("_"))
+
+
+def checksum(c: Column, modulus: int = 10_000) -> Column:
+    """Adler-32 of the text's bytes modulo a number: what a row's seed is made of. Meant for keys; a fold over bytes."""
+    prime = F.lit(65_521)
+    codes = F.transform(F.regexp_extract_all(F.hex(c), F.lit("(..)"), F.lit(1)), lambda b: F.conv(b, 16, 10).cast("bigint"))
+    start = F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+
+    def step(s: Column, x: Column) -> Column:
+        return let((s["a"] + x) % prime, lambda a: F.struct(a.alias("a"), ((s["b"] + a) % prime).alias("b")))
+
+    return F.when(c.isNotNull(), F.aggregate(codes, start, step, lambda s: (s["b"] * 65_536 + s["a"]) % modulus))

@@ -244,6 +244,7 @@ QUERIES = {
     "tipo_de": scalar(tipo=T.citation_type),
     "sumula_parse": scalar(reconhece=T.sumula_seen, numero=T.cited_sumula, vinculante=T.is_binding, tribunal=T.cited_court),
     "header_words": scalar(palavras=lambda c: F.array_join(T.long_words(T.base_form(c)), " ")),
+    "checksum": scalar(semente=T.checksum),
     "norm_ids": norm_ids,
     "id_lists": id_lists,
     "lei_diploma": article_and_code,
@@ -273,6 +274,9 @@ ORACLE = {
     "tipo_de": scalar_sql(tipo=f"CASE WHEN regexp_matches(trecho, '{ws(T.LAW_TYPE)}', 'i') THEN 'lei' ELSE 'jurisprudencia' END"),
     "sumula_parse": scalar_sql(reconhece=f"regexp_matches(trecho, '{T.SUMULA_SEEN}', 'i')", numero=_SUMULA, vinculante=_BINDING, tribunal=_COURT),
     "header_words": f"SELECT citacao_id, array_to_string(list_transform(list_filter(list_transform(w, lambda x, i: {{'x': x, 'i': i}}), lambda s: list_position(w, s.x) = s.i), lambda s: s.x), ' ') AS palavras FROM (SELECT citacao_id, regexp_extract_all({B('trecho')}, '[a-z]{{4,}}') AS w FROM extract_citacoes)",
+    # sums of the bytes: a is one more than their sum, b the sum of all a on the way
+    "checksum": """WITH b AS (SELECT citacao_id, trecho IS NULL AS none, list_transform(regexp_extract_all(hex(trecho), '..'), lambda h: ('0x' || h)::BIGINT) AS l FROM extract_citacoes)
+      SELECT citacao_id, CASE WHEN none THEN NULL ELSE (((coalesce(list_sum(list_transform(l, lambda x, i: x * (len(l) - i + 1))), 0) + len(l)) % 65521 * 65536 + (1 + coalesce(list_sum(l), 0)) % 65521) % 10000)::BIGINT END AS semente FROM b""",
     "norm_ids": f"SELECT citacao_id, CASE WHEN regexp_matches(t, '^[0-9]+$') THEN {Z('t')} ELSE t END AS id_normal FROM (SELECT citacao_id, trim(resolucao.id_canonico) AS t FROM extract_citacoes)",
     "id_lists": f"SELECT linha_id, len(l)::INT AS n, array_to_string(l, '|') AS ids FROM (SELECT linha_id, list_filter(regexp_split_to_array(coalesce(id_canonico, ''), '(?:{WS}|:)+'), lambda x: x <> '' AND x <> '-') AS l FROM goldenset)",
     "lei_diploma": f"SELECT citacao_id, {_ARTICLE} AS artigo, {_code_expr} AS diploma FROM ({_code_src.replace("@src", "extract_citacoes")})",

@@ -66,3 +66,10 @@ def test_accents_against_the_unicode_tables(spark):
     got = {r.k: r.o for r in df.select("k", T.strip_accents(F.col("t")).alias("o")).collect()}
     assert [k for k, t in enumerate(texts) if got[k] != (None if t is None else want(t))] == []
     assert got[len(texts) - 4] == "final No"
+
+
+def test_checksum(spark):
+    import zlib
+
+    texts = ["", "a", "Wikipedia", "ação 😀", "x" * 70_000]
+    assert values(spark, T.checksum, *texts, None) == [*(zlib.adler32(t.encode()) % 10_000 for t in texts), None]
