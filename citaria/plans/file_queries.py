@@ -130,9 +130,8 @@ def sqlite_corpus(spark: SparkSession, sf: str) -> DataFrame:
     con.commit()
     con.close()
     ship_package(spark)
-    spark.dataSource.register(files.SqliteCorpus)
-    read = spark.read.format("sqlite_corpus").option("path", f"{path}/corpus.db").option("columns", "id,natureza,tribunal,texto").load()
-    return read.where("natureza = 'acordao' and tribunal is not null").select("id", "tribunal", F.md5("texto").alias("md5"))
+    read = files.read_corpus(spark, f"{path}/corpus.db", "id,tribunal,texto", natureza="acordao")
+    return read.where("tribunal is not null").select("id", "tribunal", F.md5("texto").alias("md5"))
 
 
 QUERIES = {f.__name__: f for f in (text_folder, contract_files, latest_contracts, metadata_files, submission_file, golden_file, golden_file_ids, jsonl_examples, manifest_file, evaluation_file, sqlite_corpus)}

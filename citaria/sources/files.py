@@ -214,12 +214,14 @@ def write_evaluation(levels: DataFrame, finals: DataFrame, by: str, path: str) -
 
 
 class SqliteCorpus(DataSource):
-    """Table `documentos` of an SQLite file on a shared path; options path, columns (all if not given), natureza, parts.
+    """Table `documentos` of an SQLite file on a shared path; options path, columns (all if not given), natureza, parts, pushdown.
 
     spark.dataSource.register(SqliteCorpus); spark.read.format("sqlite_corpus").option(...).load()
     Filters on equality, membership and nulls run in SQLite (natureza and tribunal come with
     them); row ids are read in ranges; bytes that aren't UTF-8 are replaced. Python sources
-    aren't told which columns a query needs: `columns` names them.
+    aren't told which columns a query needs: `columns` names them. Where the session's filter
+    pushdown for Python sources is off (its default), Spark refuses a source that takes filters;
+    pushdown must be "false" there, which read_corpus sees to.
     """
 
     ALL = {"id": "string", "natureza": "string", "tribunal": "string", "relator": "string", "texto": "string", "texto_len": "int"}
@@ -238,29 +240,17 @@ class SqliteCorpus(DataSource):
         return ", ".join(f"{c} {self.ALL[c]}" for c in self.columns())
 
     def reader(self, schema) -> DataSourceReader:
-        return SqliteReader(self.options, self.columns())
+        kind = PlainSqliteReader if self.options.get("pushdown", "true").lower() == "false" else SqliteReader
+        return kind(self.options, self.columns())
 
 
-class SqliteReader(DataSourceReader):
+class PlainSqliteReader(DataSourceReader):
+    """Reads without Spark's filters, which Spark then applies itself; option natureza is selected in SQLite all the same."""
+
     def __init__(self, options, columns: list[str]):
         self.path, self.parts, self.columns = options["path"], int(options.get("parts", 8)), columns
         self.where: list[tuple[str, tuple]] = [("natureza = ?", (options["natureza"],))] if options.get("natureza") else []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes the filters that mean the same in SQLite; gives back the others. Ids may be numbers there and aren't compared."""
-        for f in filters:
-            at = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if at not in ("natureza", "tribunal", "relator"):
-                yield f
-            elif isinstance(f, EqualTo):
-                self.where.append((f"{at} = ?", (f.value,)))
-            elif isinstance(f, In):
-                self.where.append((f"{at} IN ({', '.join('?' * len(f.value))})", tuple(f.value)))
-            elif isinstance(f, IsNotNull):
-                self.where.append((f"{at} IS NOT NULL", ()))
-            else:
-                yield f
-
     def connect(self):
         import sqlite3
 
@@ -281,5 +271,29 @@ class SqliteReader(DataSourceReader):
             yield tuple(v if v is None or k in numbers else str(v) for k, v in enumerate(row))
 
 
+class SqliteReader(PlainSqliteReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes the filters that mean the same in SQLite; gives back the others. Ids may be numbers there and aren't compared."""
+        for f in filters:
+            at = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if at not in ("natureza", "tribunal", "relator"):
+                yield f
+            elif isinstance(f, EqualTo):
+                self.where.append((f"{at} = ?", (f.value,)))
+            elif isinstance(f, In):
+                self.where.append((f"{at} IN ({', '.join('?' * len(f.value))})", tuple(f.value)))
+            elif isinstance(f, IsNotNull):
+                self.where.append((f"{at} IS NOT NULL", ()))
+            else:
+                yield f
+
+
+def read_corpus(spark: SparkSession, path: str, columns: str = "", natureza: str = "") -> DataFrame:
+    """Table `documentos` of an SQLite file in any session; its filters run in SQLite where the session allows it, natureza always."""
+    spark.dataSource.register(SqliteCorpus)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("sqlite_corpus").options(path=path, columns=columns, natureza=natureza, pushdown=pushdown).load()
+
+
 def document_key(*parts: str) -> Column:
     return F.concat_ws("#", *(F.col(p).cast("string") for p in parts))

@@ -2,14 +2,17 @@
 
 import json
 import sqlite3
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from citaria.plans.file_queries import QUERIES
 from citaria.sources import files
 from citaria.streaming.texts import late_counts, window_stream
 
 CONTRACT = files.CONTRACT
+DATA = Path("/root/testdata/sf0.001")
 
 
 def test_texts(spark, tmp_path):
@@ -107,6 +110,25 @@ def test_sqlite(spark, tmp_path):
     assert len(rows) == 11 and rows["99"] == "S�" and rows["1"] == "Súmula 1"
 
 
+@pytest.mark.parametrize("pushdown", ["false", "true"])
+def test_sqlite_in_any_session(spark, tmp_path, pushdown):
+    path = str(tmp_path / "c.db")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE documentos (id, natureza, tribunal, relator, texto, texto_len)")
+    con.executemany("INSERT INTO documentos VALUES (?,?,?,?,?,?)", [(i, "acordao" if i % 2 else "sumula", None if i == 3 else "STJ", None, f"t{i}", 2) for i in range(8)])
+    con.commit()
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", pushdown)
+    try:
+        got = files.read_corpus(spark, path, "id,tribunal", natureza="acordao").where("tribunal is not null")
+        assert sorted(r.id for r in got.collect()) == ["1", "5", "7"]
+        assert files.read_corpus(spark, path).where("natureza = 'sumula' and tribunal = 'STJ'").count() == 4
+        if DATA.is_dir():
+            assert QUERIES["sqlite_corpus"](spark, str(DATA)).count() > 0
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+
+
 def test_stream_of_texts(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
