@@ -7,10 +7,10 @@ by split and source.
 
 Scale: exact copies are one representative (the digest of their text); slices that occur
 on one side only are dropped by a pre-aggregated count before any pairs are made. A slice
-with many texts on both sides (a stock passage) is split by further slices of the code;
-what remains hot is cut into a grid of salted sub-blocks, so that no task holds it as a
-whole, and the radius is part of the join condition, so that pairs beyond it are never
-emitted.
+with many texts (a stock passage) is cut into a grid of salted sub-blocks, so that no task
+holds it as a whole; every pair of it meets in one cell, so that the pairs found don't
+depend on how many texts share a slice. The radius is part of the join condition, so that
+pairs beyond it are never emitted.
 
 Defined results: examples without messages, without a user message, or of fewer than
 three words after its first line have no sequences and are in no pair; other or null
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citaria.llm.fingerprints import RADIUS, SPLIT_LEVELS, finer, hamming, keyed, sketch, slice_rows, unpacked, user_text, verified
+from citaria.llm.fingerprints import RADIUS, hamming, keyed, sketch, slice_rows, unpacked, user_text, verified
 from citaria.session import shared_checkpoints
 
 TRAIN, EVALUATION = "treino", ("validacao", "teste")
@@ -49,27 +49,15 @@ def sides(members: DataFrame) -> DataFrame:
     return counts.where("_t > 0 and _e > 0 and _n > 1").drop("_n")
 
 
-def blocks(reps: DataFrame, side_rows: int) -> DataFrame:
-    """(sig, in_train, in_eval, k, level, block, _t, _e): texts by the slices of their codes that both sides share.
-
-    A block with more than side_rows texts on each side is taken in subcells, up to SPLIT_LEVELS times.
-    """
-    rows = slice_rows(reps, ["sig", "in_train", "in_eval"]).withColumn("level", F.lit(0))
-    counts = sides(rows).checkpoint()
-    members, out, hot = rows.join(counts, "block"), None, (F.col("_t") > side_rows) & (F.col("_e") > side_rows)
-    for _ in range(SPLIT_LEVELS):
-        if counts.where(hot).isEmpty():
-            break
-        out = members.where(~hot) if out is None else out.unionByName(members.where(~hot))
-        rows = finer(members.where(hot).drop("_t", "_e"), reps, "sig").checkpoint()
-        counts = sides(rows).checkpoint()
-        members = rows.join(counts, "block")
-    return members if out is None else out.unionByName(members)
+def blocks(reps: DataFrame) -> DataFrame:
+    """(sig, in_train, in_eval, k, block, _t, _e): texts by the slices of their codes that both sides share, however many share one."""
+    rows = slice_rows(reps, ["sig", "in_train", "in_eval"])
+    return rows.join(sides(rows).checkpoint(), "block")
 
 
 def candidate_pairs(reps: DataFrame, radius: int, side_rows: int = SIDE_ROWS) -> DataFrame:
-    """(sig_t, sig_e): pairs of different texts that share a slice and lie within the radius."""
-    members = blocks(reps, side_rows).withColumns({"_nt": F.ceil(F.col("_t") / side_rows).cast("int"), "_ne": F.ceil(F.col("_e") / side_rows).cast("int")})
+    """(sig_t, sig_e): pairs of different texts that share a slice and lie within the radius; side_rows only cuts the work."""
+    members = blocks(reps).withColumns({"_nt": F.ceil(F.col("_t") / side_rows).cast("int"), "_ne": F.ceil(F.col("_e") / side_rows).cast("int")})
     h = F.xxhash64("sig")
     t = members.where("in_train").select("block", F.col("sig").alias("sig_t"), F.pmod(h, F.col("_nt")).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_ne") - 1)).alias("_j"))
     e = members.where("in_eval").select("block", F.col("sig").alias("sig_e"), F.explode(F.sequence(F.lit(0), F.col("_nt") - 1)).alias("_i"), F.pmod(h, F.col("_ne")).cast("int").alias("_j"))

@@ -96,6 +96,25 @@ def test_stock_passage_is_split_by_further_slices(spark):
     assert {r.level for r in split.select("level").distinct().collect()} == {1}
 
 
+def codes_with_one_equal_slice(rng, n):
+    """n codes of one first slice; two of them differ in one or two bits of every other slice."""
+    base = rng.getrandbits(fingerprints.CODE_BITS)
+    spare = 64 * fingerprints.CODE_WORDS - fingerprints.CODE_BITS
+    for j in range(n):
+        code = (base ^ sum(1 << 48 * k + j for k in range(fingerprints.BLOCKS - 1))) << spare
+        yield np.frombuffer(code.to_bytes(8 * fingerprints.CODE_WORDS), ">i8").astype(np.int64).tolist()
+
+
+def test_pairs_across_splits_do_not_depend_on_the_size_of_a_slice(spark):
+    rows = [(f"c{j}".encode(), j % 2 == 0, j % 2 == 1, c) for j, c in enumerate(codes_with_one_equal_slice(random.Random(5), 12))]
+    reps = spark.createDataFrame(rows, "sig binary, in_train boolean, in_eval boolean, code array<bigint>")
+    crosssplit.shared_checkpoints(spark)
+    want = {(f"c{i}".encode(), f"c{j}".encode()) for i in range(0, 12, 2) for j in range(1, 12, 2)}
+    for side_rows in (2_000, 4, 1):
+        got = [(bytes(r.sig_t), bytes(r.sig_e)) for r in crosssplit.candidate_pairs(reps, fingerprints.RADIUS, side_rows).collect()]
+        assert len(got) == len(want) and set(got) == want, side_rows
+
+
 @pytest.mark.parametrize("hub", [1, 5_000])
 def test_pairs_of_a_hub(spark, monkeypatch, hub):
     monkeypatch.setattr(fingerprints, "HUB_PAIRS", hub)
