@@ -11,10 +11,8 @@ With the defaults a pair at similarity 0.6 shares no slice with probability
 deviation of 46; RADIUS is 5 deviations above. Unrelated texts differ in 900 bits and
 more. Every pair that is found is verified on the texts' whole sets of sequences.
 
-Slices that many texts share (stock passages) are split by further slices of the same
-code: `finer` gives each of their texts SPLITS subcells, by the next SPLITS slices. A near
-pair of a hot slice meets in one of these with probability 1 - (1 - 0.6**3)**8 = 0.86 or
-more, and it has nine slices in common on average.
+Every pair of texts that share a slice meets, however many texts share it. `finer` splits
+a slice by further slices of the code; it loses pairs and isn't used for candidates.
 """
 
 from __future__ import annotations
@@ -34,8 +32,8 @@ VALUES, SLICE_BITS = BLOCKS * ROWS, ROWS * BITS
 CODE_BITS = VALUES * BITS
 CODE_WORDS = -(-CODE_BITS // 64)
 RADIUS = 640
-#: Slices that a hot slice is split by, and how often in a row.
-SPLITS, SPLIT_LEVELS = 8, 2
+#: Slices that `finer` splits by.
+SPLITS = 8
 #: Pairs of one text from which on its row is spread over several keys when texts are verified.
 HUB_PAIRS = 5_000
 #: Codes of repeated texts that a worker remembers; bounds its memory only.

@@ -8,19 +8,16 @@ connected components of the verified links.
 
 The tries are taken in rotations of the code: in rotation k slice k comes first, and a
 trie holds the texts of one value of it, so that the shuffle by (k, value) makes the
-tries' first level. The budget grows with the depth: of two codes within the radius r of
-their n bits, some rotation has at most r/n errors a bit in every prefix (the pigeonhole
-principle on a ring), so that d bits below the slice SLACK + d x r/n errors are allowed,
-and unrelated texts are given up after a hundred bits or so. At similarity 0.6 this costs
-0.5 % of the pairs of one rotation; a pair has nine rotations with an equal slice on
-average, and misses all of them with probability 5e-5 (4e-5 without the rule).
+tries' first level. The budget is the radius: two texts are candidates if they have an
+equal slice and their codes lie within the radius, whatever else the tries hold. At
+similarity 0.6 a pair has nine equal slices on average, and none with probability 4e-5.
 
 Scale: exact copies are one representative; slices of one text are dropped by a
 pre-aggregated count. A hot slice is first compared with one of its texts (the pivot),
-the members of whose group need not meet each other again. If many texts stay outside
-that group (a stock passage), the slice is split by further slices of the code; what is
-hot still is cut into sub-blocks of about SIDE_ROWS codes, and every two sub-blocks are
-joined as two tries in a task of their own. The budget holds on all ways.
+the members of whose group need not meet each other again. The others (a stock passage)
+are cut into sub-blocks of about SIDE_ROWS codes, and every two sub-blocks are joined as
+two tries in a task of their own. Every pair that isn't in one group already meets, so
+that the groups don't depend on how many texts share a slice.
 
 Defined results: records without messages, without a user message or of fewer than three
 words after its first line are in no group; other columns, nulls in them included, are
@@ -37,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citaria.llm.components import components
-from citaria.llm.fingerprints import CODE_BITS, CODE_WORDS, RADIUS, SLICE_BITS, SPLIT_LEVELS, finer, hamming, keyed, sketch, slice_rows, unpacked, user_text, verified
+from citaria.llm.fingerprints import CODE_BITS, CODE_WORDS, RADIUS, SLICE_BITS, hamming, keyed, sketch, slice_rows, unpacked, user_text, verified
 from citaria.session import shared_checkpoints
 
 #: Codes of a trie; a pair of tries of this size costs a task a quarter of a second at most.
@@ -84,7 +81,10 @@ def _trie(codes: list[int], ids: list, a: int, b: int, depth: int, width: int) -
 
 
 def budgets(radius: int, width: int = CODE_BITS) -> list[int]:
-    """Errors allowed after d bits below the first slice of a rotation."""
+    """Errors allowed after d bits below the first slice of a rotation, for walks that may give up more than the radius does.
+
+    Not used for groups: what such a walk gives up depends on where the tries branch, and so on their other texts.
+    """
     return [min(radius, SLACK + d * radius // width) for d in range(width + 1)]
 
 
@@ -123,17 +123,13 @@ def trie_join(x: Node | None, y: Node | None, budget: int | list[int], steps: li
             if err > allowed[d]:
                 break
         else:
-            pb &= (1 << ps) - 1
-            qb &= (1 << qs) - 1
-            err += ((pb >> (ps - n)) ^ (qb >> (qs - n))).bit_count()
+            err += ((pb >> (ps - n) ^ qb >> (qs - n)) & LOW_BITS[n]).bit_count()
             d += n
         if err > (cap if allowed is None else allowed[d]):
             pruned += 1
             continue
         ps -= n
         qs -= n
-        pb &= (1 << ps) - 1
-        qb &= (1 << qs) - 1
         ways = ((p.low, 0), (p.high, 1)) if ps == 0 and p.ids is None else None
         other = ((q.low, 0), (q.high, 1)) if qs == 0 and q.ids is None else None
         if ways and other:
@@ -159,6 +155,8 @@ def trie_join(x: Node | None, y: Node | None, budget: int | list[int], steps: li
 
 
 MASK = (1 << STRIDE) - 1
+#: Masks of the last n bits; bits of a path that have been compared stay above them.
+LOW_BITS = [(1 << n) - 1 for n in range(CODE_BITS + 1)]
 
 
 def rotated(code: int, k: int) -> int:
@@ -207,24 +205,24 @@ def placed_in_grid(members: DataFrame, side_rows: int) -> DataFrame:
 
 
 def trie_candidates(cells: DataFrame, reps: DataFrame, radius: int) -> DataFrame:
-    """(a, b): texts that meet in a cell and whose codes stay within the budget, by joins of tries in the cell's rotation."""
+    """(a, b): texts that meet in a cell and whose codes lie within the radius, by joins of tries in the cell's rotation."""
     coded = cells.join(reps.select("rep", "code"), "rep").select("rep", "k", "block", "_i", "_j", "_at", "code")
     kind = reps.schema["rep"].dataType.simpleString()
     spread = coded.repartition("block", "_i", "_j").sortWithinPartitions("block", "_i", "_j", "_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * CODE_BITS))  # a trie may be as deep as a code is long
-        now, sides, out, allowed = None, {}, [], budgets(radius)
+        now, sides, out = None, {}, []
 
         def flush():
             if len(sides) == 1 and now is not None and now[1] == now[2]:
                 (only,) = sides.values()
                 if len(only) > 1:
                     root = trie(only)
-                    out.extend(trie_join(root, root, allowed))
+                    out.extend(trie_join(root, root, radius))
             elif len(sides) == 2:
                 x, y = sides.values()
-                out.extend(trie_join(trie(x), trie(y), allowed))
+                out.extend(trie_join(trie(x), trie(y), radius))
 
         def batch_of(pairs):
             a, b = zip(*((u, v) if u < v else (v, u) for u, v in pairs))
@@ -255,7 +253,7 @@ def spokes(hot: DataFrame, rows: DataFrame, reps: DataFrame, radius: int) -> Dat
 
 
 def links(rows: DataFrame, reps: DataFrame, similarity: float, width: int, radius: int, side_rows: int = SIDE_ROWS) -> DataFrame:
-    """(a, b, similaridade): verified pairs of representatives, whose components are the groups.
+    """(a, b, similaridade): verified pairs of representatives, whose components are the groups; side_rows changes only how they are found.
 
     Pairs of texts that the comparison with a hot block's pivot has already put in one group may be left out.
     """
@@ -272,18 +270,8 @@ def links(rows: DataFrame, reps: DataFrame, similarity: float, width: int, radiu
     seen = segments.join(shared.select("block"), "block").join(labels, "rep", "left")
     homes = seen.where("_label is not null").groupBy("block", "_label").agg(F.count(F.lit(1)).alias("_n"))
     homes = homes.groupBy("block").agg(F.max_by("_label", F.struct("_n", "_label")).alias("_home"))
-    members = seen.join(homes, "block", "left").select("rep", "k", F.lit(0).alias("level"), "block", F.coalesce(F.col("_label") == F.col("_home"), F.lit(False)).alias("inside"))
-    members = sized(members).checkpoint()
-    wide, cells = F.col("n_out") > side_rows, None
-    for _ in range(SPLIT_LEVELS):
-        split = members.where(wide)
-        if split.isEmpty():
-            break
-        part = placed_in_grid(members.where(~wide), side_rows)
-        cells = part if cells is None else cells.unionByName(part)
-        members = sized(finer(split.drop("n_in", "n_out"), reps, "rep")).checkpoint()
-    part = placed_in_grid(members, side_rows)
-    rest = trie_candidates(part if cells is None else cells.unionByName(part), reps, radius)
+    members = seen.join(homes, "block", "left").select("rep", "k", "block", F.coalesce(F.col("_label") == F.col("_home"), F.lit(False)).alias("inside"))
+    rest = trie_candidates(placed_in_grid(sized(members), side_rows), reps, radius)
     return first.unionByName(verified(rest, "a", "b", rows, similarity, width)).dropDuplicates(["a", "b"])
 
 

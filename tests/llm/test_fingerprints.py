@@ -115,6 +115,26 @@ def test_pairs_across_splits_do_not_depend_on_the_size_of_a_slice(spark):
         assert len(got) == len(want) and set(got) == want, side_rows
 
 
+def test_groups_do_not_depend_on_the_size_of_a_slice(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "verified", lambda pairs, a, b, *_: pairs.select(a, b, F.lit(1.0).alias("similaridade")))
+    neardup.shared_checkpoints(spark)
+    rng, low = random.Random(6), fingerprints.CODE_BITS - 48
+    spare = 64 * fingerprints.CODE_WORDS - fingerprints.CODE_BITS
+    first = rng.getrandbits(48) << low
+    every = sum(1 << 48 * k for k in range(fingerprints.BLOCKS - 1))  # a bit of each slice but the first
+    early = ((1 << 200) - 1) << low - 200  # many errors at once below the first slice
+    codes, want = [], set()
+    for j in range(6):
+        code = first | rng.getrandbits(low)
+        codes += [code, code ^ (every if j % 2 else every | early)]
+        want.add((f"c{2 * j:02d}", f"c{2 * j + 1:02d}"))
+    rows = [(f"c{j:02d}", np.frombuffer((c << spare).to_bytes(8 * fingerprints.CODE_WORDS), ">i8").astype(np.int64).tolist()) for j, c in enumerate(codes)]
+    reps = spark.createDataFrame(rows, "rep string, code array<bigint>")
+    for side_rows in (500, 5, 1):
+        got = neardup.links(reps, reps, 0.6, 3, fingerprints.RADIUS, side_rows).collect()
+        assert {(r.a, r.b) if r.a < r.b else (r.b, r.a) for r in got} == want, side_rows
+
+
 @pytest.mark.parametrize("hub", [1, 5_000])
 def test_pairs_of_a_hub(spark, monkeypatch, hub):
     monkeypatch.setattr(fingerprints, "HUB_PAIRS", hub)
